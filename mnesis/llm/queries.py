@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnesis.llm import conversations
+from mnesis.llm import contamination, conversations, mixing, neighbours
+from mnesis.workspace import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,34 @@ select session_id, pos, seq, r as "role" from steps where r is not null and sess
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of whole conversations, through the keyed stream."""
     return conversations.rebuild(spark, f"{sf_dir}/session_events.parquet")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similar vectors over the whole collection."""
+    return neighbours.similar_pairs(read_table(spark, sf_dir, "vector_index")).select("id_a", "id_b")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that they leak."""
+    leaks = contamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_passages"))
+    return leaks.select("doc_id", "item_id")
+
+
+@query("p6_clean")
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, without the spans that leak evaluation items."""
+    return contamination.remove_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_passages"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by the target weights."""
+    return mixing.Mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).emit()
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources in the mix."""
+    return mixing.Mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).shares()
