@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnesis.llm import contamination, conversations, mixing, neighbours
+from mnesis.llm import contamination, conversations, mixing, near_duplicates, neighbours
 from mnesis.workspace import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,15 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the sources in the mix."""
     return mixing.Mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).shares()
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate items."""
+    return near_duplicates.NearDuplicates(read_table(spark, sf_dir, "memory_item")).pairs()
+
+
+@query("p4_classes")
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its class of equal word sets, and the class's number of near-duplicate classes."""
+    return near_duplicates.NearDuplicates(read_table(spark, sf_dir, "memory_item")).representatives()
