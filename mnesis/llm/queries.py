@@ -92,7 +92,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).shares()
 
 
-@query("p4_found")
+#: Without NFKC, which SQL lacks; the tables' words don't need it but for full-width forms.
+NEAR_DUPLICATES_SQL = r"""
+with texts as (
+  select id, text as t from memory_item where id is not null and text is not null
+  union all select id, unnest(tags) from memory_item where id is not null
+), w as (
+  select distinct id, unnest(regexp_extract_all(lower(regexp_replace(t, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+')) as w from texts where t is not null
+), n as (
+  select id, count(*) as n from w group by id having count(*) >= 12
+), shared as (
+  select a.id as a, b.id as b, count(*) as k from w a join w b on a.w = b.w and a.id < b.id
+  where a.id in (select id from n) and b.id in (select id from n) group by a.id, b.id
+)
+select a as id_a, b as id_b from shared join n x on x.id = a join n y on y.id = b where k >= 0.7::double * (x.n + y.n - k) - 1e-9
+"""
+
+
+@query("p4_found", NEAR_DUPLICATES_SQL)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of near-duplicate items."""
     return near_duplicates.NearDuplicates(read_table(spark, sf_dir, "memory_item")).pairs()
