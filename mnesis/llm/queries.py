@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnesis.llm import contamination, conversations, mixing, near_duplicates, neighbours
+from mnesis.llm import contamination, conversations, mixing, near_duplicates, neighbours, quality
 from mnesis.workspace import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item with its class of equal word sets, and the class's number of near-duplicate classes."""
     return near_duplicates.NearDuplicates(read_table(spark, sf_dir, "memory_item")).representatives()
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which more than half isn't prose, with their form."""
+    forms = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
+    return forms.where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+@query("p8_statistics")
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document."""
+    return quality.document_statistics(read_table(spark, sf_dir, "documents")).drop("weak")
