@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnesis.llm import contamination, conversations, mixing, near_duplicates, neighbours, quality
+from mnesis.llm import contamination, conversations, mixing, near_duplicates, neighbours, personal, quality
 from mnesis.workspace import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every document."""
     return quality.document_statistics(read_table(spark, sf_dir, "documents")).drop("weak")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal information in the items' texts."""
+    return personal.find_personal(read_table(spark, sf_dir, "memory_item")).select("id", "pii_type", "start_pos").distinct()
+
+
+@query("p1_redacted")
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items' texts with typed placeholders."""
+    return personal.redact(read_table(spark, sf_dir, "memory_item").select("workspace", "id", "text"))
