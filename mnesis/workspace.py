@@ -63,3 +63,43 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(hadoop_path):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Replace the versioned table at ``path`` at once: readers see the old version or the new one.
+
+    Every version is a folder of its own, complete when its ``_SUCCESS`` is there; :func:`read_version`
+    takes the newest complete one. The ``keep`` newest versions stay for readers that have begun.
+    """
+    spark = df.sparkSession
+    versions = list_dirs(spark, path)
+    number = 1 + max((int(v[1:]) for v in versions), default=0)
+    df.write.parquet(f"{path}/v{number:012d}")
+    for old in versions[: max(0, len(versions) + 1 - keep)]:
+        drop_path(spark, f"{path}/{old}")
+
+
+def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest complete version of the table at ``path``; empty where there is none."""
+    done = [v for v in list_dirs(spark, path) if exists(spark, f"{path}/{v}/_SUCCESS")]
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{done[-1]}")
+
+
+def append_version(df: DataFrame, path: str) -> None:
+    """Append ``df`` to the table at ``path`` as one more folder, visible once it is complete."""
+    number = 1 + max((int(v[1:]) for v in list_dirs(df.sparkSession, path)), default=0)
+    df.write.parquet(f"{path}/v{number:012d}")
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All complete folders of the table at ``path``."""
+    done = [f"{path}/{v}" for v in list_dirs(spark, path) if exists(spark, f"{path}/{v}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
