@@ -10,7 +10,7 @@ from mnesis.functions import embed, score, vectors
 from mnesis.functions import text as tx
 from mnesis.operators import dedupe, extract, items, recall, session
 from mnesis.plans.catalog import query
-from mnesis.workspace import materialize, read_table
+from mnesis.workspace import materialize, read_table, spread
 
 #: The time of all scores here: 2026-01-01, in ms.
 AS_OF = 1_767_225_600_000
@@ -102,7 +102,7 @@ def hash_embed_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hash_embed")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", embed.embed_column(F.col("text"), embed.HashedNGramEmbedder()).alias("vector"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed.embed_column(F.col("text"), embed.HashedNGramEmbedder()).alias("vector"))
 
 
 @query(
