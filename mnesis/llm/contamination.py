@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnesis.llm.words import word_spans, words
+from mnesis.workspace import spread
 
 #: Characters of passages in one automaton (at most some 300 bytes of memory each).
 SHARD_CHARS = 500_000
@@ -135,7 +136,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
     the longest run of the document's words in any passage around a leak of this item, and ``words``
     the number of word positions at which a leaking run ends."""
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
+    texts = spread(documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null"))
     found = spark.createDataFrame([], LEAK_SCHEMA)
     for automaton in _shards(items, min_words):
         shared = spark.sparkContext.broadcast(automaton)

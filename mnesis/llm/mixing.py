@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.workspace import materialize
+from mnesis.workspace import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits a text before byte-pair merges.
@@ -89,7 +89,7 @@ class Mix:
             .groupBy("source")
             .agg(F.sum(F.when(F.col("weight") > 0, F.nanvl("weight", F.lit(0.0)))).alias("weight"), F.max("max_repeats").alias("max_repeats"))
         )
-        self.counted = materialize(self.documents.select("doc_id", "source", count_tokens(F.col("text"), tokenizer).alias("tokens")), "mix-tokens")
+        self.counted = materialize(spread(self.documents.select("doc_id", "source", "text")).select("doc_id", "source", count_tokens(F.col("text"), tokenizer).alias("tokens")), "mix-tokens")
         held = self.counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
         rows = goals.join(held, "source", "left").limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnesis.llm.words import words
-from mnesis.workspace import materialize
+from mnesis.workspace import materialize, spread
 
 #: Counters of the sketch of signature counts.
 SLOTS = 1 << 20
@@ -184,7 +184,7 @@ def word_sets(records: DataFrame) -> DataFrame:
                 out.append(np.unique(np.fromiter((known[w] for w in found), np.int64, len(found))))
             yield pd.DataFrame({"id": batch["id"], "words": out})
 
-    rows = records.select(F.col("id").cast("string"), "text", "tags").where("id is not null")
+    rows = spread(records.select(F.col("id").cast("string"), "text", "tags").where("id is not null"))
     return (
         rows.mapInPandas(hashed, "id string, words array<bigint>")
         .groupBy("id")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.workspace import materialize
+from mnesis.workspace import materialize, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -106,6 +106,8 @@ REVERSED = re.compile(rf"(?<![\w.@/\-])(?P<family>{_CAP}),\s?(?P<given>(?:{_CAP}
 HAN_NAME = re.compile(rf"(?:{'|'.join(COMPOUND_SURNAMES)})[一-鿿]{{1,2}}")
 HAN_ANY = re.compile(r"(?<=联系人是|负责人：|负责人:|负责人是|联系人：)[一-鿿]{2,4}(?![一-鿿])|(?<=请找)[一-鿿]{2,4}(?![一-鿿])")
 
+_AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
+_ID_WORD = re.compile(r"ssn|social|tin\b|tax|insurance|nino|national|passport|document|ausweis|ident|steuer|sozial|身份|护照|证件|税")
 _PHONE_LEFT = re.compile(r"(?:phone|tel|mobile|cell|call|text|ring|fax|number|contact|reach|dial|left|whatsapp|handy|telefon|mobil|anrufen|unter|nummer|电话|手机|打|致电|号码)(?:\W*(?:no|nr|is|at|on|number|unter|是)?)?\W*$", re.I)
 _PHONE_NOT = re.compile(r"(?:build|offset|timestamp|size to|port|ticket|commit|trace|version|page|bytes|failed|error|code|line|row|entry|pid|serial|order|invoice|binds)\W*$", re.I)
 _AFTER_NOT = re.compile(r"\s*(?:bytes|byets|ms|items|rows|entries|sec|seconds|times|precedes|failed|percent|%|tokens|lines|KB|MB|GB)\b", re.I)
@@ -149,7 +151,7 @@ def candidates(text: str) -> list[Candidate]:
         before, after = text[max(0, start - 40) : start], text[end : end + 3]
         out.append(Candidate(kind, start, end, (form, gazetteer, left, right, _vote(_FIELD.search(before) and _CLOSE.match(after)), link)))
 
-    if "@" in text or "＠" in text or "﹫" in text or "at" in low:
+    if _AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
             at, domain, start = m["at"], m["domain"], m.start()
             spelled = not any(c in at for c in "@＠﹫")
@@ -177,7 +179,8 @@ def candidates(text: str) -> list[Candidate]:
         ids += [(m.start(), m.end(), 1, 1) for m in SSN.finditer(text)]
         ids += [(m.start(), m.end(), 1, 1) for m in NINO.finditer(text)]
         ids += [(m.start(), m.end(), 0, 0) for p in (PASSPORT, CARD) for m in p.finditer(text)]
-        ids += [(m.start(), m.end(), -1, 0) for p in (NINE, TAX_ID) for m in p.finditer(text)]
+        if _ID_WORD.search(low):
+            ids += [(m.start(), m.end(), -1, 0) for p in (NINE, TAX_ID) for m in p.finditer(text)]
         seen: set[tuple[int, int]] = set()
         for a, b, form, valid in ids:
             if (a, b) in seen or not free(a, b):
@@ -244,6 +247,8 @@ def candidates(text: str) -> list[Candidate]:
             a, b = m.start(), m.end()
             groups = m.groupdict()
             given, family = groups.get("given"), groups["family"]
+            if pattern is NAME and given.lower() not in GIVEN_NAMES and not (given[0].isupper() and family[0].isupper()):
+                continue
             before, after = text[max(0, a - 40) : a], text[b : b + 24]
             cue = _NAME_LEFT.search(before)
             known = bool(given) and given.lower() in GIVEN_NAMES
@@ -350,7 +355,7 @@ def _candidate_table(items: DataFrame) -> DataFrame:
                     rows.append((i, [c.type for c in own], [c.start for c in own], [c.end for c in own], votes, [features(text, c) for c in own]))
             yield pd.DataFrame(rows, columns=["id", "type", "start", "end", "votes", "features"])
 
-    return items.select(F.col("id").cast("string"), "text").where("text is not null").mapInPandas(scan, CANDIDATES)
+    return spread(items.select(F.col("id").cast("string"), "text").where("text is not null")).mapInPandas(scan, CANDIDATES)
 
 
 def train(found: DataFrame, seed: int = 11) -> SpanClassifier:

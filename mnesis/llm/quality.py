@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnesis.llm.boosting import BoostedTrees
-from mnesis.workspace import materialize
+from mnesis.workspace import materialize, spread
 
 FORMS = ("prose", "list", "table", "junk")
 TRAIN_ROWS, HOLDOUT_ROWS = 8_000, 4_000
@@ -270,7 +270,7 @@ def document_statistics(documents: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(compute, f"doc_id bigint, {SCHEMA}")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInPandas(compute, f"doc_id bigint, {SCHEMA}")
 
 
 def train(stats: DataFrame, labels: DataFrame | None, seed: int = 3) -> BoostedTrees | None:
