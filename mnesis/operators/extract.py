@@ -12,7 +12,6 @@ from mnesis.functions import text as tx
 from mnesis.operators.session import raw_chunks
 
 MAX_ENTRIES, MIN_TEXT = 60, 8
-_ENTRY = "array<struct<kind:string,text:string,importance:string,tags:array<string>>>"
 
 
 def parse_extraction(answer: Column) -> Column:
@@ -26,22 +25,25 @@ def parse_extraction(answer: Column) -> Column:
     inner = F.when((first > 0) & (F.instr(bare, "]") > 0) & (last > first), F.substring(bare, first, last - first + 1))
 
     def array_of(text: Column) -> Column:
-        return F.when(F.try_variant_get(F.try_parse_json(text), "$[0]", "variant").isNotNull() | F.regexp_replace(text, r"\s+", "").eqNullSafe("[]"), F.from_json(text, _ENTRY))
+        return F.when(F.try_variant_get(F.try_parse_json(text), "$[0]", "variant").isNotNull() | F.regexp_replace(text, r"\s+", "").eqNullSafe("[]"), F.from_json(text, "array<variant>"))
 
     is_json = F.try_parse_json(bare).isNotNull()
     entries = F.when(is_json, array_of(bare)).otherwise(array_of(inner))
 
+    def field(e: Column, name: str, kind: str = "string") -> Column:
+        return F.try_variant_get(e, f"$.{name}", kind)
+
     def shaped(e: Column) -> Column:
-        importance = e["importance"].try_cast("double")
+        importance = field(e, "importance").try_cast("double")
         return F.struct(
-            F.coalesce(e["kind"], F.lit("fact")).alias("kind"),
-            tx.trim(e["text"]).alias("text"),
+            F.coalesce(field(e, "kind"), F.lit("fact")).alias("kind"),
+            tx.trim(field(e, "text")).alias("text"),
             F.when(importance.isNull() | F.isnan(importance) | (F.abs(importance) == float("inf")), 0.5).otherwise(importance).alias("importance"),
-            F.coalesce(e["tags"], F.array().cast("array<string>")).alias("tags"),
+            F.coalesce(field(e, "tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
         )
 
-    usable = F.filter(F.slice(entries, 1, MAX_ENTRIES), lambda e: e.isNotNull() & (tx.utf16_length(tx.trim(F.coalesce(e["text"], F.lit("")))) >= MIN_TEXT))
-    return F.transform(usable, shaped)
+    long_enough = lambda e: tx.utf16_length(tx.trim(F.coalesce(field(e, "text"), F.lit("")))) >= MIN_TEXT
+    return F.transform(F.filter(F.slice(entries, 1, MAX_ENTRIES), long_enough), shaped)
 
 
 def extract(spans: DataFrame, model: Callable[[str], str] | None = None, mode: str = "llm") -> DataFrame:

@@ -42,7 +42,7 @@ def normalize_items(items: DataFrame) -> DataFrame:
 
 def latest_items(items: DataFrame) -> DataFrame:
     """One row for each id: the last ingested."""
-    return items.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*[c for c in items.columns if c != "id"]), "ingested_at").alias("i")).select("id", "i.*")
+    return items.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*[c for c in items.columns if c != "id"]), F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0)))).alias("i")).select("id", "i.*")
 
 
 def replay(log: DataFrame) -> DataFrame:

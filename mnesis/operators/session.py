@@ -22,7 +22,7 @@ def session_log(events: DataFrame) -> DataFrame:
     return (
         events.where("session_id is not null and seq is not null")
         .groupBy("session_id", "seq")
-        .agg(F.min_by(F.struct("workspace", "type", "data", "ts", "ingested_at"), F.coalesce("ingested_at", "ts")).alias("e"))
+        .agg(F.min_by(F.struct("workspace", "type", "data", "ts", "ingested_at"), F.coalesce("ingested_at", "ts", F.timestamp_seconds(F.lit(0)))).alias("e"))
         .select("session_id", "seq", "e.*")
     )
 
