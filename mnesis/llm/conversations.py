@@ -57,7 +57,8 @@ def keyed_events(events: DataFrame) -> DataFrame:
             F.xxhash64(F.col("type"), F.to_json("data", {"ignoreNullFields": "false"})).alias("print"),
             message_role(F.col("type"), F.col("data")).alias("role"),
         ).alias("event"),
-        F.coalesce("ts", "ingested_at", F.timestamp_seconds(F.lit(0))).alias("event_time"),
+        # a watermark starts at the epoch, so what is dated before it is dated there
+        F.greatest(F.coalesce("ts", "ingested_at", F.timestamp_seconds(F.lit(0))), F.timestamp_seconds(F.lit(0))).alias("event_time"),
     )
 
 
