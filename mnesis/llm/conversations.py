@@ -28,6 +28,8 @@ from mnesis.workspace import scratch_path
 
 #: A key of the state holds 2 ** BLOCK_BITS sequence numbers.
 BLOCK_BITS = 10
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: White space of Unicode, for a Java regular expression.
 NOT_BLANK = r"[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
@@ -149,8 +151,13 @@ def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", idle: str
     end = spark.readStream.schema(keyed.schema).parquet(_end_of_stream(spark, keyed.schema))
     out, state = scratch_path(spark, "fragments"), scratch_path(spark, "stream")
     fragments = fragment_stream(keyed.unionByName(end), lateness, idle)
-    query = fragments.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out)
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, STATE_STORE)  # state on disk, not in the executors' heaps
+    try:
+        query = fragments.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     late = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
     if late:
         raise ValueError(f"{late} rows came later than {lateness}; raise lateness")
