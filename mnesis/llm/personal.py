@@ -257,7 +257,7 @@ def candidates(text: str) -> list[Candidate]:
             if pattern is NAME:
                 if not known and not (cue and shape and family[1:].islower() and given[1:].islower() and given.lower() not in _NOT_GIVEN):
                     continue
-                if known and not shape and not cue:
+                if known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
                     continue
             if family.lower() in _NOT_FAMILY:
                 continue
