@@ -40,29 +40,17 @@ TRAIN_ROWS, FEATURES = 20_000, 1 << 13
 #: Common given names of several countries that are no English or German words.
 GIVEN_NAMES = frozenset(
     """
-    aaron abigail adam adela adele adrian agnes ahmed aisha akira alan albert alejandro alex alexander alexandra alfred ali alice
-    alina amanda amara amina amir amy ana anders andrea andreas andrew angela anita anja anke anna anne annika anton antonia
-    antonio arjun arthur astrid axel barbara beatrice ben benjamin bernd bianca birgit bjorn boris brenda brian bruno camila
-    carla carlos carmen carol caroline catherine cecilia charles charlotte chen chiara chloe christian christina christine
-    christopher claire clara claudia colin cornelia dagmar damian daniel daniela dario david deborah denis dennis diana diego
-    dieter dmitri dominik donald dora dorothy doris eduard edith edward elena eleni elias elif elisa elisabeth elizabeth ella
-    ellen emil emilia emily emma enrique eric erik erika ernst esther ethan eva evelyn fatima felix fernando fiona florian frances
-    francesca francis frank franz frederik frieda friedrich gabriel gabriele george georg gerald gerhard gertrud gianni giulia
-    giovanni gisela gloria greta gudrun gustav hannah hannes hans harald harold hassan heike heinrich heinz helen helena helga
-    helmut henrik henry herbert hiroshi holger hugo ibrahim igor ines inga ingrid irene irina isabel isabella ivan ivo jakob james
-    jan jana janet jason javier jean jennifer jens jessica joan johan johannes john jonas jonathan jorge jose josef joseph joshua
-    juan judith julia julian juliane juan jun jurgen jutta karen karin karl katarina katharina kathrin keiko kenji kevin kim
-    kirsten klara klaus kofi kristina kurt lara larissa lars laura lea leila lena leo leon leonie linda lisa louis louise luca
-    lucas lucia lucy luis luisa lukas lydia madison magdalena malik manfred manuel marcel marco marcus marek margaret margit maria
-    marianne marie marina mario marion markus marta martha martin martina mary mateo matthew matthias maurice mei melanie mia
-    michael michaela miguel mikhail mila milan mohamed mohammed monika moritz nadia nadine natalia natasha nathan nicholas nicole
-    niklas nikolai nina noah noor nora norbert olaf oleg olga oliver olivia omar oskar oscar otto owen pablo pamela patricia
-    patrick paul paula pavel pedro peter petra philip philipp pierre priya rachel rainer rajesh ralf ramon raphael raul ravi
-    rebecca regina renate ricardo richard rita robert roberto roland rolf roman rosa rosemary ruth ryan sabine sabrina salma samir
-    samuel sandra sara sarah sebastian selma sergei sharon silke silvia simon simone sofia sonja sophia sophie stefan stefanie
-    stephan stephen steven susan susanne sven svetlana sylvia tamara tanja tatiana teresa thea theodor theresa thomas tilda till
-    timothy tobias tomas tom ulrich ulrike ursula uwe valentina vera veronica victor victoria viktor viktoria vincent viola
-    vladimir walter wanda werner wilhelm william wolfgang xavier yara yasmin yolanda yuki yusuf yvonne zoe zoya caleb
+    aaron adam ahmed aisha alan albert alex alexander ali alice alina amara amir amy anders andrea andreas andrew angela
+    anita anja anna anne anton antonio arjun arthur astrid axel barbara beatrice ben benjamin birgit boris brian bruno
+    caleb camila carlos carmen caroline charlotte chen chloe christian christina christopher claire clara claudia daniel
+    daniela dario david deborah diana diego dieter dmitri dorothy edith eduard elena eleni elias elizabeth emil emily emma
+    eric erik ernst esther eva fatima felix fernando fiona florian francesca frank franz friedrich gabriel georg george
+    gerald giovanni greta hannah hans harold hassan heike heinrich helen helena henrik henry hiroshi hugo ibrahim igor
+    ingrid irene isabel ivan ivo jakob james jan jane janet javier jennifer jessica johan john jonas jorge jose joseph
+    juan judith julia karen karin karl katharina kenji kevin klara klaus kofi kurt lars laura leila lena leo linda lisa
+    louis luca lucia lukas lydia malik manuel marco marek margaret maria mario marta martin mary mateo matthew mei mia
+    michael miguel mikhail milan mohamed monika nadia natalia nathan nicole nikolai noor oliver omar oskar owen pavel
+    petra priya ravi samir selma tilda tomas viktor wanda yuki zoe
     """.split()
 )
 #: Chinese compound surnames.

@@ -37,16 +37,14 @@ GARBLED = 0.1
 #: Common function words of English, German and French.
 COMMON_WORDS = frozenset(
     """
-    a about after all although an and any are as at be because been before but by came can could did do does down during
-    each even every except first for from had has have he her his how if in into is it its just last like many more most much
-    next no nobody not now of on once one only or other our out over please same she should since so some such than that the
-    their them then there these they this those though to too two under until up us use user used very was we were what when
-    where which while who why will with without would you your
-    aber alle als am an auch auf aus bei bis da danach das dass dem den denselben der des die doch durch ein eine einem einen
-    einer er es für hat haben ich ihn ihm im in ist ja kein mit möchte nach nicht noch nur ob oder sein seine sich sie sind so
-    über um und uns unter vom von vor war waren weil wenn werden wie wir wird wurde zu zum zur zwar
-    au aux avec avant ce cela ces cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou
-    par pas plus pour qu que qui sa sans se ses si son sont sur un une vous été était
+    a about after again all also an and any are as at be because been before but by came can could do does each even
+    except first for from had has have he her his how if in into is it its just last like many more most much no nobody
+    not of on once one only or other our out over should since so some such than that the their them then there these they
+    this those to too under until up us was we were what when where which while who why will with would you
+    aber alle als am auch auf aus bei das dass dem den der des die doch ein eine einem er es für hat haben ich im ist ja
+    mit nach nicht noch nur oder sein sie sind und uns von vor war weil wenn wie wir wird wurde zu zum zur zwar
+    au aux avec ce cette dans de du elle en est et il je la le les leur mais ne nous ou par pas plus pour qu que qui sans
+    se sont sur un une vous
     """.split()
 )
 
