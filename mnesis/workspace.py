@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/mnesis/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. What is written there is removed when this process ends,
+    where the folder is mounted here; results are lazy, so it can't go earlier."""
+    path = f"{shared_dir(spark)}/mnesis/{name}-{uuid.uuid4().hex}"
+    if "://" not in path or path.startswith("file:"):
+        if not _SCRATCH:
+            atexit.register(_remove_scratch)
+        _SCRATCH.append("/" + path.split(":", 1)[-1].lstrip("/"))
+    return path
+
+
+def _remove_scratch() -> None:
+    for path in _SCRATCH:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
