@@ -243,7 +243,7 @@ def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "session_events").groupBy(session.event_route(F.col("type")).alias("route")).agg(F.count("*").alias("events"))
 
 
-SPAN_CHARS, SPAN_TOKENS = 2000, 300
+SPAN_CHARS, SPAN_TOKENS = Config().max_span_chars, Config().capture_token_threshold
 SPANS_SQL = rf"""select *, ceil(0.6::double * length(regexp_replace(text, '[^\x{{2e81}}-\x{{9ffe}}]', '', 'g'))
     + length(regexp_replace(text, '[\x{{2e81}}-\x{{9ffe}}{WS}\x0b]', '', 'g')) / 4)::bigint as tokens from (
   select session_id, min(seq) as first_seq, max(seq) as last_seq, count(*) as events, string_agg('[' || "role" || ' @seq ' || seq || '] ' || text, chr(10) || chr(10) order by seq) as text

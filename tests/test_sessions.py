@@ -1,6 +1,10 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from mnesis.config import Config
 from mnesis.operators import extract, session
 
 DATA = "struct<role:string,content:array<struct<type:string,text:string>>,source:struct<kind:string>,message:struct<role:string,content:array<struct<type:string,text:string>>>,target:string,inserted:array<struct<role:string,content:array<struct<type:string,text:string>>,source:struct<kind:string>>>>"
@@ -91,3 +95,18 @@ def test_extract_falls_back_to_raw(spark):
         return '[{"text": "a memory worth keeping", "kind": "decision"}]'
 
     assert {(r.session_id, r.kind) for r in extract.extract(spans, model).collect()} == {("s", "decision"), ("t", "raw")}
+
+
+def test_registered_spans_have_the_production_budget(spark, sf):
+    """Sessions that fit in the default budget are kept whole, and only long spans are triggered."""
+    config, queries = Config(), entry.queries()
+    surface = session.surface_events(session.session_log(spark.read.parquet(f"{sf}/session_events.parquet"))).collect()
+    size, events = Counter(), Counter()
+    for r in surface:
+        size[r.session_id] += len(r.text.encode("utf-16-le")) // 2 + session.EVENT_COST
+        events[r.session_id] += 1
+    whole = {s: n for s, n in events.items() if size[s] <= config.max_span_chars}
+    assert any(size[s] > 2000 for s in whole)
+    got = {r.session_id: r.events for r in queries["span_collect"](spark, sf).collect()}
+    assert {s: got.get(s) for s in whole} == whole
+    assert all(r.forced or r.tokens >= config.capture_token_threshold for r in queries["consolidation_trigger"](spark, sf).collect())
