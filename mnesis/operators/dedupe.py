@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from mnesis.functions import vectors as vx
 from mnesis.workspace import materialize
 
+#: Rows multiplied with a block, or converted, at a time.
+TILE = 512
+
 
 def new_to_store(candidates: DataFrame, store: DataFrame, threshold: float, dim: int) -> DataFrame:
     """Candidates (id, vector, ...) whose largest similarity to the store is below ``threshold``."""
@@ -15,10 +18,24 @@ def new_to_store(candidates: DataFrame, store: DataFrame, threshold: float, dim:
     return candidates.join(known, "id", "left_anti")
 
 
+def _block(part, dim: int):
+    """Usable vectors of an Arrow table ``(id, vector)`` and their ids, converted piece by piece."""
+    import numpy as np
+
+    q, ids, n = np.empty((len(part), dim)), [], 0
+    for at in range(0, len(part), TILE):
+        piece = part.slice(at, TILE).to_pandas()
+        x, place = vx.matrix(piece["vector"], dim)
+        q[n : n + len(x)] = x
+        ids.append(piece["id"].to_numpy()[place])
+        n += len(x)
+    return q[:n], np.concatenate(ids) if ids else np.zeros(0)
+
+
 def similar_before(rows: DataFrame, threshold: float, dim: int) -> DataFrame:
     """Pairs ``(earlier, later)`` of row ids at ``threshold`` or above, each row against all before it.
 
-    Exact: rows are compared in blocks, every block with all rows, one product for each batch.
+    Exact: rows are compared in blocks, every block with all rows, one product for each ``TILE`` rows.
     """
     import numpy as np
     import pandas as pd
@@ -29,20 +46,22 @@ def similar_before(rows: DataFrame, threshold: float, dim: int) -> DataFrame:
     blocks = max(1, -(-count * 8 * dim // vx.BLOCK_BYTES))
     out = spark.createDataFrame([], f"earlier {kind}, later {kind}")
     for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toPandas()
-        q, at = vx.matrix(part["vector"], dim)
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toArrow()
+        q, own = _block(part, dim)
+        del part
         if not len(q):
             continue
-        shared = spark.sparkContext.broadcast((part["id"].to_numpy()[at], q))
+        shared = spark.sparkContext.broadcast((own, q))
 
         def scan(batches, shared=shared):
             ids, q = shared.value
             for batch in batches:
-                x, place = vx.matrix(batch["vector"], dim)
-                own = batch["id"].to_numpy()[place]
-                i, j = np.nonzero(np.round(q @ x.T, 6) >= threshold) if len(x) else (np.zeros(0, int),) * 2
-                keep = ids[i] < own[j] if len(i) else np.zeros(0, bool)
-                yield pd.DataFrame({"earlier": ids[i][keep], "later": own[j][keep]})
+                for at in range(0, len(batch), TILE):
+                    x, place = vx.matrix(batch["vector"].iloc[at : at + TILE], dim)
+                    own = batch["id"].to_numpy()[at : at + TILE][place]
+                    i, j = np.nonzero(np.round(q @ x.T, 6) >= threshold) if len(x) else (np.zeros(0, int),) * 2
+                    keep = ids[i] < own[j] if len(i) else np.zeros(0, bool)
+                    yield pd.DataFrame({"earlier": ids[i][keep], "later": own[j][keep]})
 
         out = out.unionByName(rows.select("id", "vector").mapInPandas(scan, out.schema))
     return out

@@ -450,4 +450,4 @@ def parse_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable items added to an empty store: what greedy deduplication keeps, by stored vectors."""
     rows = _items(spark, sf_dir).join(_index(spark, sf_dir), "id").select("id", "vector")
-    return dedupe.greedy(rows, 0.97, 512)
+    return dedupe.greedy(rows, Config().dedupe_similarity, 512)

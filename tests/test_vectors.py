@@ -1,8 +1,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from mnesis.config import Config
 from mnesis.functions import embed, score, vectors
 from mnesis.operators import dedupe
+from mnesis.plans import reference_queries
 
 
 def test_embedder_agrees_with_its_sql_form_and_is_signed_by_parity(spark):
@@ -48,6 +51,17 @@ def test_greedy_equals_taking_rows_in_order(spark):
     assert dedupe.new_to_store(rows, empty, 0.8, 3).count() == 80
 
 
+def test_memory_add_rejects_at_the_default_similarity(spark, sf):
+    rows = reference_queries._items(spark, sf).join(reference_queries._index(spark, sf), "id").select("id", "vector").collect()
+    ids, x = zip(*sorted((r.id, r.vector) for r in rows))
+    s, kept = np.round(np.array(x, dtype=float) @ np.array(x, dtype=float).T, 6), []
+    for i in range(len(ids)):
+        if not kept or s[i, kept].max() < Config().dedupe_similarity:
+            kept.append(i)
+    assert sorted(r.id for r in entry.queries()["memory_add"](spark, sf).collect()) == [ids[i] for i in kept]
+    assert len(kept) < len(ids)
+
+
 def test_scores(spark):
     week = 168 * 3_600_000
     rows = spark.createDataFrame([(0, 0.0, 0), (-week, 1.0, 3), (week, 0.5, 0)], "c bigint, i double, n int")
