@@ -40,22 +40,59 @@ TRAIN_ROWS, FEATURES = 20_000, 1 << 13
 #: Common given names of several countries that are no English or German words.
 GIVEN_NAMES = frozenset(
     """
-    aaron adam ahmed aisha alan albert alex alexander ali alice alina amara amir amy anders andrea andreas andrew angela
-    anita anja anna anne anton antonio arjun arthur astrid axel barbara beatrice ben benjamin birgit boris brian bruno
-    caleb camila carlos carmen caroline charlotte chen chloe christian christina christopher claire clara claudia daniel
-    daniela dario david deborah diana diego dieter dmitri dorothy edith eduard elena eleni elias elizabeth emil emily emma
-    eric erik ernst esther eva fatima felix fernando fiona florian francesca frank franz friedrich gabriel georg george
-    gerald giovanni greta hannah hans harold hassan heike heinrich helen helena henrik henry hiroshi hugo ibrahim igor
-    ingrid irene isabel ivan ivo jakob james jan jane janet javier jennifer jessica johan john jonas jorge jose joseph
-    juan judith julia karen karin karl katharina kenji kevin klara klaus kofi kurt lars laura leila lena leo linda lisa
-    louis luca lucia lukas lydia malik manuel marco marek margaret maria mario marta martin mary mateo matthew mei mia
-    michael miguel mikhail milan mohamed monika nadia natalia nathan nicole nikolai noor oliver omar oskar owen pavel
-    petra priya ravi samir selma tilda tomas viktor wanda yuki zoe
+    aaron abdul abdullah abigail adam adela adele adrian adriana agata agnes agnieszka ahmad ahmed aiden aisha akiko akira alan
+    albert alejandro aleksandr aleksandra alessandra alessandro alex alexander alexandra alexandre alexei alfonso alfred alfredo
+    ali alice alicia alina alison allison alvaro amanda amara amelia amelie amina amir amy ana ananya anastasia anatoly anders
+    andre andrea andreas andrei andrej andrew angela angelika angelo anil anita anja anke ann anna annabel anne annette annika
+    anouk antoine anton antonia antonio arjun arne arnold arthur arturo ashley astrid aurelie axel ayse barbara barbora bart
+    beata beatrice ben benedikt benjamin benoit bernadette bernard bernd bettina bianca birgit bjorn bogdan boris brandon brenda
+    brian brigitte bruno bryan burak caleb camila camille carla carlo carlos carmen carol carolina caroline caterina catherine
+    cecile cecilia celine cem chantal charles charlotte chen chiara chinedu chloe christa christian christiane christina
+    christine christophe christopher claire clara claudia colin cornelia cristina cynthia dagmar damian damien daniel daniela
+    danielle danuta dario david deborah deepak denis denise dennis derek diana diego dieter dietmar dimitri dirk dmitri dmitry
+    dolores dominik donald donna dora doris dorothy douglas edith eduard eduardo edward eileen ekaterina elena eleni elias elif
+    elisa elisabeth elisabetta elizabeth elke ella ellen eloise emanuele emeka emil emilia emilio emily emma emmanuel enrique
+    enzo eric erica erik erika ernesto ernst esteban esther ethan etienne eugene eugenia eva evelyn evgeny fabian fabio fatima
+    federico felicia felix ferdinand fernando filip fiona florian frances francesca francis francisco francois frank franz
+    frederic frederik frieda friedrich gabriel gabriele gareth gary genevieve georg george gerald gerard gerhard gertrud
+    gianluca gianni giovanni gisela giulia giuseppe gloria gonzalo gregor gregory greta gudrun guido guillaume guillermo gunter
+    gunther gustav hamid hanna hannah hannes hans harald harold harriet hartmut hassan heather hector heidi heike heinrich heinz
+    helen helena helene helga helmut hendrik henri henrik henry herbert hermann hideo hiroshi holger hortensia hubert hugo ian
+    ibrahim ignacio igor ilse imran ines inga ingrid ioana irene irina isabel isabella ismail istvan ivan ivana ivo jacek jacob
+    jacques jakob james jan jana jane janet janina janusz jared jaroslav jasmin jason javier jean jeffrey jennifer jens jeremy
+    jerome jessica jessie jiri joan joanna joaquin jochen joel joern johan johanna johannes john jolanta jonas jonathan jorge
+    jose josef josefine joseph joshua jozef juan judith julia julian juliane julien julio jun jurgen justin jutta kamal kamil
+    karen karim karin karl karolina katarina katarzyna kate katharina katherine kathleen kathrin katja katrin keiko keith kelly
+    kenji kenneth kevin khadija khalid kim kimberly kiran kirsten klara klaus kofi konrad kristina krzysztof kurt kyle lamar
+    lara larissa larry lars laura laurent laurie lea leila lena leo leon leonie liam lidia lilian linda linnea lisa lorenzo
+    lothar louis louisa louise luca lucas lucia lucie lucy ludwig luigi luis luisa lukas lutz lydia lydie madison magda
+    magdalena mahmoud maike malgorzata malik manfred manuel marcel marcela marcelo marcin marco marcus marek margaret margarita
+    margit margot maria mariam mariana marianne marie marina mario marion markus marlene marta martha martin martina mary mateo
+    mathieu mathilde matteo matthew matthias maureen maurice maximilian megan mehmet mei melanie melissa mercedes mia michael
+    michaela michal michel michele michelle miguel mikhail mila milan milena milos miriam mirko mohamed mohammad mohammed monika
+    moritz muhammad murat mustafa nadia nadine nancy naomi natalia natalie natasha nathan nicholas nicole nigel nikita niklas
+    nikolai nikos nils nina nkechi noah noor nora norbert odile olaf oleg olena olga oliver olivia olivier oluwaseun omar oscar
+    oskar otto owen pablo pamela pascal patrice patricia patrick paul paula pauline pavel pawel pedro penelope pete peter petra
+    philip philipp philippe pierre pilar piotr pradeep priya rachel rafael rahul raimund rainer rajesh rajiv ralf ralph ramon
+    ramona rana raphael raquel rasmus raul ravi raymond rebecca regina reinhard reinhold renate renee ricardo riccardo richard
+    rita robert roberto roger rohan roland rolf romain roman ronald rosa rosalind rosario rosemary roxana rudolf rupert ruth
+    ryan sabine sabrina salma salvatore samantha samir samuel sandra sanjay santiago sara sarah satoshi sebastian selma sergei
+    sergey sergio sharon shirley siegfried sigrid silke silvia simon simona simone sina sinead siobhan snezana sofia solveig
+    sonja sophia sophie soren stacy stanislav stefan stefania stefanie stefano stephan stephanie stephen steve steven stuart
+    sunita susan susanne suzanne sven svetlana sylvia sylvie tadeusz takeshi tamara tanja tanya tara tariq tatiana tatjana
+    terence teresa thabo thea theodor theresa thierry thomas thorsten tiago tilda till tim timo timothy tina tobias todd tom
+    tomas tomasz tony torsten tracy ulla ulrich ulrike ursula uta uwe valentina valerie vanessa vasily vera veronica victor
+    victoria vikram viktor viktoria vincent vincenzo viola virginia vivek vivian vladimir volker walter wanda wei wendy wenzel
+    werner wilhelm william winfried wojciech wolfgang xavier xiao yannick yara yasin yasmin yasmine yevgeny yolanda yolande yuki
+    yuri yusuf yves yvonne zainab zbigniew zeynep zoe zofia zoya zsolt
     """.split()
 )
 #: Chinese compound surnames.
 COMPOUND_SURNAMES = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 公户 公玉 公仪 梁丘 公仲 公上 公门 公山 公坚 左丘 公伯 西门 公祖 第五 公乘 贯丘 公皙 南荣 东里 东宫 仲长 子书 子桑 即墨 淳于 达奚 褚师 吴铭".split()
 
+#: The most frequent Chinese surnames of one character.
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+
 _AT = r"(?:\s?[@＠﹫]\s?|\s*[\[({<]\s*(?:at|AT|At)\s*[\])}>]\s*|\s+(?:at|AT|At)\s+|_at_)"
 _DOT = r"(?:[.．。](?=[A-Za-z0-9])|\s*[\[({<]\s*(?:dot|DOT|Dot)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot)\s+)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -88,10 +125,12 @@ STRASSE = re.compile(r"(?<![\w.\-/])(?:(?:Am|An der|An den|Im|In der|Auf dem|Zum
 HAUS = re.compile(r"(?:住在|寄到|送到|住址是?|地址是?|位于|搬到|家在)?[:：]?((?:[一-鿿]{2,3}省)?(?:[一-鿿]{2,3}市)?(?:[一-鿿]{1,3}区)?[一-鿿]{1,5}?(?:路|街|大道|巷|弄|胡同)\d{1,5}号)")
 _CAP = r"[A-ZÀ-Þ][^\W\d_]+(?:['’\-][A-ZÀ-Þ]?[^\W\d_]+)*"
 _INITIALS = r"(?:[A-ZÀ-Þ]\.[ ]?){1,3}"
-NAME = re.compile(rf"(?<![\w.@/\-])(?P<given>[^\W\d_]{{2,}})\s+(?:{_INITIALS}\s*)?(?P<family>[^\W\d_][^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@/]|[._\-]\w|\s?[＠@])")
+NAME = re.compile(rf"(?<![\w.@/\-])(?P<given>[^\W\d_]{{2,}}(?:-[^\W\d_]{{2,}})*)\s+(?:{_INITIALS}\s*)?(?P<family>[^\W\d_][^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@/]|[._\-]\w|\s?[＠@])")
 INITIALS = re.compile(rf"(?<![\w.@/\-]){_INITIALS}\s*(?P<family>{_CAP})(?![\w@/]|[._]\w)")
 REVERSED = re.compile(rf"(?<![\w.@/\-])(?P<family>{_CAP}),\s?(?P<given>(?:{_CAP}|{_INITIALS}))(?![\w@/]|[_\-]\w|\.\w{{2,}})")
 HAN_NAME = re.compile(rf"(?:{'|'.join(COMPOUND_SURNAMES)})[一-鿿]{{1,2}}")
+#: A surname of one character starts many words, so only where a person is announced or addressed.
+HAN_SHORT = re.compile(rf"(?:(?<=联系人)|(?<=负责人)|(?<=收件人)|(?<=经办人)|(?<=审核人)|(?<=请找)|(?<=姓名)|(?<=作者)|(?<=我叫)|(?<=名叫))[是为叫：:]?(?P<name>[{SURNAMES}][一-鿿]{{1,2}})(?![一-鿿])|(?P<called>[{SURNAMES}][一-鿿]{{1,2}}?)(?=先生|女士|小姐|博士)")
 HAN_ANY = re.compile(r"(?<=联系人是|负责人：|负责人:|负责人是|联系人：)[一-鿿]{2,4}(?![一-鿿])|(?<=请找)[一-鿿]{2,4}(?![一-鿿])")
 
 _AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
@@ -220,11 +259,14 @@ def candidates(text: str) -> list[Candidate]:
         for m in HAUS.finditer(text):
             a, b = m.start(1), m.end(1)
             add(3, a, b, 1, _vote("市" in m[1]), _vote(a > m.start(), False), 0)
-        for pattern in (HAN_NAME, HAN_ANY):
+        for pattern in (HAN_NAME, HAN_SHORT, HAN_ANY):
             for m in pattern.finditer(text):
-                a, b = m.start(), m.end()
-                cue = _HAN_LEFT.search(text[max(0, a - 4) : a])
-                if any(c.type == 4 and c.start == a for c in out):
+                a, b = m.span(m.lastgroup or 0)
+                cue = _HAN_LEFT.search(text[max(0, a - 4) : a]) or pattern is HAN_SHORT
+                if any(c.type == 4 and c.start <= a < c.end for c in out):
+                    continue
+                if pattern is HAN_SHORT:
+                    add(4, a, b, 1, 1, 1, 1)
                     continue
                 add(4, a, b, _vote(cue and not re.match(r"[一-鿿]", text[b : b + 1])), _vote(pattern is HAN_NAME), _vote(cue), _vote(not re.match(r"[一-鿿]", text[b : b + 1])))
 
@@ -235,32 +277,32 @@ def candidates(text: str) -> list[Candidate]:
             a, b = m.start(), m.end()
             groups = m.groupdict()
             given, family = groups.get("given"), groups["family"]
-            if pattern is NAME and given.lower() not in GIVEN_NAMES and not (given[0].isupper() and family[0].isupper()):
+            known = bool(given) and given.lower().split("-")[0] in GIVEN_NAMES
+            if pattern is NAME and not known and not (given[0].isupper() and family[0].isupper()):
                 continue
             before, after = text[max(0, a - 40) : a], text[b : b + 24]
             cue = _NAME_LEFT.search(before)
-            known = bool(given) and given.lower() in GIVEN_NAMES
             linked = any(family.lower().split("-")[0] in x or x in family.lower() for x in locals_) if locals_ and len(family) > 3 else False
             shape = family[0].isupper() and (given is None or given[0].isupper())
-            if pattern is NAME:
-                if not known and not (cue and shape and family[1:].islower() and given[1:].islower() and given.lower() not in _NOT_GIVEN):
-                    continue
-                if known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
-                    continue
+            if pattern is NAME and known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
+                continue
             if family.lower() in _NOT_FAMILY:
                 continue
-            if pattern is REVERSED and not known and not re.fullmatch(_INITIALS, given):
+            unknown = pattern is not INITIALS and not known and not re.fullmatch(_INITIALS, given)
+            if unknown and (given.lower() in _NOT_GIVEN or pattern is REVERSED and given.lower() in _NOT_FAMILY):
                 continue
+            if unknown and not cue and (given.isupper() or family.isupper()):
+                continue  # a text in capitals
             if pattern is INITIALS and re.match(r"P\.\s?O\.", m[0]) or family.lower() == "box" or not free(a, b):
                 continue
-            if pattern is NAME:  # the next match may start after this name only
+            if pattern is NAME and not unknown:  # the next match may start after this name only
                 at = b
-            add(4, a, b, _vote(shape, not shape and not cue), _vote(known or pattern is INITIALS), _vote(cue), _vote(_NAME_RIGHT.match(after), _NAME_NOT.match(after) or re.search(r"\bThe\s+$", before)), _vote(linked))
+            add(4, a, b, _vote(shape and not (unknown and not cue), not shape and not cue), _vote(known or pattern is INITIALS, unknown and not cue), _vote(cue), _vote(_NAME_RIGHT.match(after), _NAME_NOT.match(after) or re.search(r"\bThe\s+$", before)), _vote(linked))
     return out
 
 
 #: Words that open a sentence or end a file name, not a name.
-_NOT_GIVEN = frozenset("the a an this that these those there when then later since even for from in on at by to with most once under according as and or but if one some each it we they our their nobody after before between what where who why how which with der die das wir wenn nach es im update".split())
+_NOT_GIVEN = frozenset("the a an this that these those there when then later since even for from in on at by to with most once under according as and or but if one some each it we they our their nobody after before between what where who why how which with der die das wir wenn nach es im update monday tuesday wednesday thursday friday saturday sunday january february april june july august september october november december frau herr herrn mr mrs ms miss dr prof ask".split())
 _NOT_FAMILY = _NOT_GIVEN | frozenset("said asked is was were are has had who which owns und oder von asked about she he".split())
 _CODE_ENDS = frozenset("py js ts json yml yaml md txt cfg ini toml lock sh".split())
 

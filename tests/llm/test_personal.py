@@ -99,3 +99,24 @@ def test_positions_count_code_points(spark, model):
     text = "🧠🧠 cc Ivo Arnivard."
     assert [c.start for c in P.candidates(text)] == [6]
     assert spark.createDataFrame([(text,)], "text string").select(F.substring("text", 7, 3)).first()[0] == "Ivo"
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("I spoke to the team. Sarah Miller asked about it", "Sarah Miller"),
+        ("cc Jean-Pierre Dupont.", "Jean-Pierre Dupont"),
+        ("Dr. Quillby, Zorvan.", "Quillby, Zorvan"),
+        ("owner: XYLA ERGXANSKY.", "XYLA ERGXANSKY"),
+        ("今天联系人王小明，已经回电", "王小明"),
+        ("请李明女士回电", "李明"),
+    ],
+)
+def test_names_outside_the_tables_are_found(model, text, name):
+    assert ("name", name) in spans(model, text)
+
+
+def test_unknown_capitalised_names_are_put_to_the_vote(model):
+    text = "Then Zorvan Quillby, who owns it, met Frau Hugo Brihuxin."
+    assert {text[c.start : c.end] for c in P.candidates(text) if c.type == 4} >= {"Zorvan Quillby", "Hugo Brihuxin"}
+    assert spans(model, "这是方法。高性能缓存") == []
