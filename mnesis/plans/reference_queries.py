@@ -147,6 +147,76 @@ def raw_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("hash"))
 
 
+# ---- the same over whole documents: long, empty, null and non-ASCII texts. SQL has no NFKC, so those that normalise have none
+
+DOCUMENT_WORDS_SQL = "select distinct unnest(string_split(text, ' ')) as word from documents"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+
+
+@query("documents_fnv1a", f"select word, {fnv_sql('word')} as hash, {fnv_sql('word')} % 512 as bucket from ({DOCUMENT_WORDS_SQL})")
+def documents_fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = tx.fnv1a(F.col("word"))
+    return _document_words(spark, sf_dir).select("word", h.alias("hash"), (h % 512).alias("bucket"))
+
+
+@query("documents_sign", f"select word, case when {fnv_sql('word || chr(124)')} % 2 = 0 then 1 else -1 end as sign from ({DOCUMENT_WORDS_SQL})")
+def documents_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_words(spark, sf_dir).select("word", tx.hash_sign(F.col("word")).alias("sign"))
+
+
+@query("documents_slug", "select doc_id, '--' || regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') || '--' as slug from documents")
+def documents_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", tx.slugify(F.col("text")).alias("slug"))
+
+
+@query("documents_normalized")
+def documents_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+
+
+@query("documents_words")
+def documents_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", tx.word_tokens(tx.normalize_text(F.col("text"))).alias("words"))
+
+
+@query("documents_bigrams")
+def documents_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents_words(spark, sf_dir)
+    return rows.select("doc_id", F.explode(tx.word_bigrams(F.col("words"))).alias("pair")).groupBy("doc_id", "pair").agg(F.count("*").alias("n"))
+
+
+@query("documents_ngrams")
+def documents_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents_normalized(spark, sf_dir)
+    return rows.select("doc_id", F.explode(tx.char_ngrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+
+
+@query("documents_features")
+def documents_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.features(_documents(spark, sf_dir), "doc_id", "text")
+
+
+@query("documents_sparse")
+def documents_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.sparse(documents_features(spark, sf_dir), "doc_id").select("doc_id", "bucket", F.round("weight", 4).alias("weight"))
+
+
+@query("documents_similar")
+def documents_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar documents to every twentieth one, among all."""
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), embed.embed_column(F.col("text"), embed.HashedNGramEmbedder()).alias("vector"))
+    rows = materialize(rows, "document-vectors")
+    found = vectors.search(rows.where("id % 20 = 0"), rows, 5, 512, digits=4, exclude_self=True)
+    return found.select("query", "id", "similarity", F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---- vectors
 
 POOL_SQL = "select vec_id as id, embedding as v from embeddings"
