@@ -134,11 +134,13 @@ HAN_SHORT = re.compile(rf"(?:(?<=联系人)|(?<=负责人)|(?<=收件人)|(?<=
 HAN_ANY = re.compile(r"(?<=联系人是|负责人：|负责人:|负责人是|联系人：)[一-鿿]{2,4}(?![一-鿿])|(?<=请找)[一-鿿]{2,4}(?![一-鿿])")
 
 _AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
-_ID_WORD = re.compile(r"ssn|social|tin\b|tax|insurance|nino|national|passport|document|ausweis|ident|steuer|sozial|身份|护照|证件|税")
+#: What announces an identifier; a text without any of these holds no cued one.
+_ID_CUE = r"ssn|social|tin|tax\w*|insurance|nino|ni number|national\w*|passport|passnummer|reisepass|document|ausweis\w*|personalausweis|identity|identity card|id card|id number|steuer\w*|sozialversicherung\w*|identification|身份证\w*|护照\w*|证件\w*|税号"
+_ID_WORD = re.compile(_ID_CUE)
 _PHONE_LEFT = re.compile(r"(?:phone|tel|mobile|cell|call|text|ring|fax|number|contact|reach|dial|left|whatsapp|handy|telefon|mobil|anrufen|unter|nummer|电话|手机|打|致电|号码)(?:\W*(?:no|nr|is|at|on|number|unter|是)?)?\W*$", re.I)
 _PHONE_NOT = re.compile(r"(?:build|offset|timestamp|size to|port|ticket|commit|trace|version|page|bytes|failed|error|code|line|row|entry|pid|serial|order|invoice|binds)\W*$", re.I)
 _AFTER_NOT = re.compile(r"\s*(?:bytes|byets|ms|items|rows|entries|sec|seconds|times|precedes|failed|percent|%|tokens|lines|KB|MB|GB)\b", re.I)
-_ID_LEFT = re.compile(r"(?:ssn|social|tin|tax\w*|insurance|nino|ni number|national\w*|passport|passnummer|reisepass|document|ausweis\w*|personalausweis|identity|identity card|id card|id number|steuer\w*|sozialversicherung\w*|identification|身份证\w*|护照\w*|证件\w*|税号)(?:[\s\w]{0,12}?(?:number|no|nr|id|num|号码|号|code)?\.?)?(?:\s+is|\s+ist|是|为)?\W*$", re.I)
+_ID_LEFT = re.compile(rf"(?:{_ID_CUE})(?:[\s\w]{{0,12}}?(?:number|no|nr|id|num|号码|号|code)?\.?)?(?:\s+is|\s+ist|是|为)?\W*$", re.I)
 _ID_NOT = re.compile(r"(?:build|offset|timestamp|ticket|commit|trace|version|serial|order|invoice|sku|model|part)\W*$", re.I)
 _HOME_LEFT = re.compile(r"(?:lives at|live at|visit|addr\w*|ship\w* (?:it )?to|ship_to|parcel goes to|goes to|deliver\w* to|street|from|wohnt in|anschrift|adresse|lieferung an|住在|寄到|送到|地址\w*)\W*$", re.I)
 _NAME_LEFT = re.compile(r"(?:contact is|ask|cc|off by|came from|reported by|spoke to|call with|according to|later|when|reviewer|owner|author|name|assignee|mr\.?|ms\.?|mrs\.?|miss|dr\.?|prof\.?|herrn?|frau|gemeldet von|bitte an|ansprechpartner(?:in)? ist|mail an|联系人是|负责人|请找)\W*$", re.I)
@@ -206,7 +208,7 @@ def candidates(text: str) -> list[Candidate]:
         ids += [(m.start(), m.end(), 1, 1) for m in SSN.finditer(text)]
         ids += [(m.start(), m.end(), 1, 1) for m in NINO.finditer(text)]
         ids += [(m.start(), m.end(), 0, 0) for p in (PASSPORT, CARD) for m in p.finditer(text)]
-        if _ID_WORD.search(low):
+        if _ID_WORD.search(low.replace("ſ", "s").replace("ı", "i")):  # as re.I takes them
             ids += [(m.start(), m.end(), -1, 0) for p in (NINE, TAX_ID) for m in p.finditer(text)]
         seen: set[tuple[int, int]] = set()
         for a, b, form, valid in ids:

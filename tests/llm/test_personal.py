@@ -120,3 +120,8 @@ def test_unknown_capitalised_names_are_put_to_the_vote(model):
     text = "Then Zorvan Quillby, who owns it, met Frau Hugo Brihuxin."
     assert {text[c.start : c.end] for c in P.candidates(text) if c.type == 4} >= {"Zorvan Quillby", "Hugo Brihuxin"}
     assert spans(model, "这是方法。高性能缓存") == []
+
+
+@pytest.mark.parametrize("text", ["Reisepass 123456789", "ID number 12 345 678 901", "ni number 123456789", "id card 123456789", "identity 123456789"])
+def test_every_cue_of_an_identifier_reaches_its_patterns(text):
+    assert any(c.type == 2 for c in P.candidates(text))
