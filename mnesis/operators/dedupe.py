@@ -2,94 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnesis.functions import vectors as vx
 from mnesis.workspace import materialize
 
-#: Rows multiplied with a block, or converted, at a time.
-TILE = 512
+#: Rows of a group that are decided in one round.
+ROUND_ROWS = 4096
 
 
-def new_to_store(candidates: DataFrame, store: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """Candidates (id, vector, ...) whose largest similarity to the store is below ``threshold``."""
-    known = vx.search(candidates.select("id", "vector"), store, 1, dim).where(F.col("similarity") >= threshold).select(F.col("query").alias("id"))
-    return candidates.join(known, "id", "left_anti")
+def new_to_store(candidates: DataFrame, store: DataFrame, threshold: float, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates (id, vector, ...) whose largest similarity to the store (of the same ``by``) is below ``threshold``."""
+    known = vx.search(candidates.select(*by, "id", "vector"), store.select(*by, "id", "vector"), 1, dim, by=by)
+    return candidates.join(known.where(F.col("similarity") >= threshold).select(F.col("query").alias("id")), "id", "left_anti")
 
 
-def _block(part, dim: int):
-    """Usable vectors of an Arrow table ``(id, vector)`` and their ids, converted piece by piece."""
-    import numpy as np
+def _accept(threshold: float, dim: int):
+    """Take the rows of a group in order of id, and mark those that are kept; rows without a usable vector are."""
 
-    q, ids, n = np.empty((len(part), dim)), [], 0
-    for at in range(0, len(part), TILE):
-        piece = part.slice(at, TILE).to_pandas()
-        x, place = vx.matrix(piece["vector"], dim)
-        q[n : n + len(x)] = x
-        ids.append(piece["id"].to_numpy()[place])
-        n += len(x)
-    return q[:n], np.concatenate(ids) if ids else np.zeros(0)
+    def accept(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable", ignore_index=True)
+        x, at = vx.matrix(part["vector"], dim)
+        keep = np.ones(len(part), bool)
+        dropped = np.zeros(len(x), bool)
+        for first in range(0, len(x), vx.TILE):  # rows of a tile against themselves and all after
+            near = np.round(x[first : first + vx.TILE] @ x[first:].T, 6) >= threshold
+            for i in range(len(near)):
+                if not dropped[first + i]:
+                    dropped[first + i + 1 :] |= near[i, i + 1 :]
+        keep[at[dropped]] = False
+        return part.assign(_kept=keep)
 
+    return accept
 
-def similar_before(rows: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """Pairs ``(earlier, later)`` of row ids at ``threshold`` or above, each row against all before it.
 
-    Exact: rows are compared in blocks, every block with all rows, one product for each ``TILE`` rows.
-    """
-    import numpy as np
-    import pandas as pd
-
-    spark = rows.sparkSession
-    kind = dict(rows.dtypes)["id"]
-    count = rows.count()
-    blocks = max(1, -(-count * 8 * dim // vx.BLOCK_BYTES))
-    out = spark.createDataFrame([], f"earlier {kind}, later {kind}")
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toArrow()
-        q, own = _block(part, dim)
-        del part
-        if not len(q):
-            continue
-        shared = spark.sparkContext.broadcast((own, q))
-
-        def scan(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                for at in range(0, len(batch), TILE):
-                    x, place = vx.matrix(batch["vector"].iloc[at : at + TILE], dim)
-                    own = batch["id"].to_numpy()[at : at + TILE][place]
-                    i, j = np.nonzero(np.round(q @ x.T, 6) >= threshold) if len(x) else (np.zeros(0, int),) * 2
-                    keep = ids[i] < own[j] if len(i) else np.zeros(0, bool)
-                    yield pd.DataFrame({"earlier": ids[i][keep], "later": own[j][keep]})
-
-        out = out.unionByName(rows.select("id", "vector").mapInPandas(scan, out.schema))
-    return out
+def greedy(rows: DataFrame, threshold: float, dim: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Ids that stay when the rows of each group ``by`` are taken in order of id and each is dropped if
+    an accepted earlier one is at ``threshold`` or above. Ids are unique, over all groups.
 
-
-def greedy(rows: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """Ids that stay when rows are taken in order of id and each is dropped if an accepted earlier one is at ``threshold`` or above.
-
-    The pairs form a graph; in rounds, a row is accepted once all its earlier neighbours are dropped,
-    and drops its later ones. Every round is one join and is written out, so the lineage stays short;
-    the number of rounds is the longest chain of alternating decisions.
+    In rounds: the next ``ROUND_ROWS`` rows of every group (a rank limit before the shuffle) are decided
+    in one task a group, then all rows after them are compared, in blocks, with those that were
+    accepted. No pair is ever stored. A round accepts or drops all it takes, so there are about as many
+    rounds as accepted rows of the largest group over ``ROUND_ROWS``; every round is written out.
     """
-    edges = materialize(similar_before(rows, threshold, dim), "similar-before")
-    open_ = edges
-    accepted = rows.select("id").join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-    waiting = materialize(edges.select(F.col("later").alias("id")).distinct(), "undecided")
-    accepted = materialize(accepted, "accepted")
-    news = accepted
+    keys = list(by) or ["_all"]
+    waiting = rows.select(*by, "id", "vector")
+    if not by:
+        waiting = waiting.withColumn("_all", F.lit(0))
+    accepted = None
     while True:
-        dropped = open_.join(news.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
-        waiting = materialize(waiting.join(dropped, "id", "left_anti"), "undecided")
-        # only edges between undecided rows matter from here on
-        open_ = materialize(
-            open_.join(waiting.select(F.col("id").alias("later")), "later", "left_semi").join(waiting.select(F.col("id").alias("earlier")), "earlier", "left_semi"),
-            "open-edges",
-        )
-        news = materialize(waiting.join(open_.select(F.col("later").alias("id")).distinct(), "id", "left_anti"), "accepted")
-        if news.isEmpty():
+        first = Window.partitionBy(*keys).orderBy("id")
+        ranked = waiting.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= ROUND_ROWS).drop("_n")
+        marked = ranked.groupBy(*keys).applyInPandas(_accept(threshold, dim), f"{ranked._jdf.schema().toDDL()}, _kept boolean")
+        taken = materialize(marked, "greedy-round")
+        kept = taken.where("_kept").drop("_kept")
+        ids = kept.select("id")
+        accepted = ids if accepted is None else accepted.unionByName(ids)
+        ends = taken.groupBy(*keys).agg(F.max("id").alias("_end"), F.count("*").alias("_n")).where(F.col("_n") >= ROUND_ROWS)
+        if ends.isEmpty():
+            return accepted
+        later = waiting.join(ends.drop("_n"), keys).where(F.col("id") > F.col("_end")).drop("_end")
+        waiting = materialize(new_to_store(later, kept, threshold, dim, tuple(keys)), "undecided")
+        if waiting.isEmpty():
             return accepted
-        accepted = accepted.unionByName(news)
-        waiting = materialize(waiting.join(news, "id", "left_anti"), "undecided")

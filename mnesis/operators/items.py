@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnesis.functions import score
 from mnesis.functions import text as tx
 
+#: Fixed values of the stored format.
 KINDS = ("fact", "decision", "preference", "error-fix", "task", "file-change", "summary", "raw")
 MIN_TEXT, MAX_TAGS = 8, 12
 
@@ -76,6 +77,32 @@ def evict_candidates(items: DataFrame, as_of: int, surplus: int, half_life_hours
     return items.select("id", F.round(s, 6).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score")).orderBy("score", "id").limit(surplus)
 
 
+def overflow(state: DataFrame, new: DataFrame, as_of: int, max_items: int, half_life_hours: float = 168.0) -> DataFrame:
+    """What goes so that no workspace holds more than ``max_items``: ``(workspace, id, is_new)`` of old
+    and new items.
+
+    As if the new items came one by one in order of ``key``, each after the least reachable one was
+    pushed out: the last new item stays, of the others the most reachable do. Ties: older before newer
+    go, then the smaller id. Only workspaces that exceed the cap are ranked, by narrow rows.
+    """
+
+    def scored(rows: DataFrame, is_new: bool) -> DataFrame:
+        s = score.accessibility(F.lit(score.NOMINAL_SIMILARITY), F.col("created_at"), F.col("importance"), F.col("access_count"), F.lit(as_of), half_life_hours)
+        key = F.col("key") if is_new else F.lit(None).cast("string")
+        return rows.select("workspace", "id", F.lit(is_new).alias("is_new"), key.alias("key"), F.coalesce(F.nanvl(F.round(s, 6), F.lit(None).cast("double")), F.lit(float("inf"))).alias("score"))
+
+    both = scored(state, False).unionByName(scored(new, True))
+    sizes = both.groupBy("workspace").agg((F.count("*") - max_items).alias("surplus"), F.max("key").alias("last")).where("surplus > 0")
+    worst = Window.partitionBy("workspace").orderBy("score", "is_new", "id")
+    return (
+        both.join(sizes, "workspace")
+        .where(~F.col("key").eqNullSafe(F.col("last")) | F.col("last").isNull())
+        .withColumn("n", F.row_number().over(worst))
+        .where("n <= surplus")
+        .select("workspace", "id", "is_new")
+    )
+
+
 def store_stats(items: DataFrame) -> DataFrame:
     """Items by kind, and in all (kind ``*``)."""
     return items.rollup("kind").agg(F.count("*").alias("items")).select(F.coalesce("kind", F.lit("*")).alias("kind"), "items")
@@ -87,15 +114,31 @@ def missing_vectors(items: DataFrame, vectors: DataFrame, dim: int = 512) -> Dat
     return items.join(usable, "id", "left_anti")
 
 
-def changed_queries(recalls: DataFrame) -> DataFrame:
-    """Of recalls ``(session_id, seq, query, ids)``, those whose query or ranked ids differ from the session's last: they rehearse."""
-    key = F.concat_ws("|", "query", F.array_join("ids", ","))
-    before = Window.partitionBy("session_id").orderBy("seq")
-    keyed = recalls.withColumn("_key", F.sha2(key, 256))
-    return keyed.withColumn("_last", F.lag("_key").over(before)).where(F.col("_last").isNull() | (F.col("_last") != F.col("_key"))).drop("_key", "_last")
+def changed_queries(recalls: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Of recalls ``(session_id, seq, query, ids)``, those whose query or ranked ids differ from the
+    session's last: they rehearse. Adds their ``key``.
+
+    ``before`` (session_id, key) has the last keys of earlier recalls.
+    """
+    key = F.sha2(F.concat_ws("|", "query", F.array_join("ids", ",")), 256)
+    earlier = Window.partitionBy("session_id").orderBy("seq")
+    keyed = recalls.withColumn("key", key).withColumn("_last", F.lag("key").over(earlier))
+    if before is not None:
+        keyed = keyed.join(before.select("session_id", F.col("key").alias("_before")), "session_id", "left").withColumn("_last", F.coalesce("_last", "_before")).drop("_before")
+    return keyed.where(F.col("_last").isNull() | (F.col("_last") != F.col("key"))).drop("_last")
 
 
-def rehearse(items: DataFrame, recalls: DataFrame, as_of: int) -> DataFrame:
-    """Touch ops ``(op, id, at, count)`` for the items hit by changed queries: one more access for each."""
-    hits = changed_queries(recalls).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("hits"))
+def last_keys(changed: DataFrame) -> DataFrame:
+    """The last key of each session: ``(session_id, key)``."""
+    return changed.groupBy("session_id").agg(F.max_by("key", "seq").alias("key"))
+
+
+def touches(items: DataFrame, changed: DataFrame, as_of: int) -> DataFrame:
+    """Touch ops ``(op, id, at, count)`` for the items of changed recalls: one more access for each."""
+    hits = changed.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("hits"))
     return items.join(hits, "id").select(F.lit("touch").alias("op"), "id", F.lit(as_of).cast("bigint").alias("at"), (F.col("access_count") + F.col("hits")).alias("count"))
+
+
+def rehearse(items: DataFrame, recalls: DataFrame, as_of: int) -> DataFrame:
+    """Touch ops for the items hit by changed queries among ``recalls`` ``(session_id, seq, query, ids)``."""
+    return touches(items, changed_queries(recalls), as_of)

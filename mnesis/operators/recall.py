@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from mnesis.config import Config
 from mnesis.functions import score, vectors
 
-HEADER = "Recalled memories, most reachable first (use those that bear on the task):"
+#: The first line of what is injected, and the name it is injected under.
+HEADER = "Recalled long-term memories (retrieved by semantic relevance; use them when they bear on the current task, ignore otherwise):"
+CONTRIBUTION = "memory:bionic-recall"
 
 
-def recall(queries: DataFrame, index: DataFrame, items: DataFrame, as_of: int, config: Config = Config()) -> DataFrame:
+def recall(queries: DataFrame, index: DataFrame, items: DataFrame, as_of: int, config: Config = Config(), by: tuple[str, ...] = ()) -> DataFrame:
     """The items each query recalls: ``(query, id, similarity, accessibility, rank, <item columns>)``.
 
+    ``queries`` and ``index`` are ``(id, vector)``, with the columns ``by`` in which they must agree.
+
     Two stages: the ``config.candidates`` most similar vectors; of those, items at the least similarity
     or above, ranked by accessibility, the first ``top_k``. An item outside the first cut can't return.
     """
-    hits = vectors.search(queries, index, config.candidates, config.embed_dim).withColumnRenamed("rank", "similarity_rank")
+    hits = vectors.search(queries, index, config.candidates, config.embed_dim, by=by).withColumnRenamed("rank", "similarity_rank")
     reach = score.accessibility(F.col("similarity"), F.col("created_at"), F.col("importance"), F.col("access_count"), F.lit(as_of), config.half_life_hours)
     order = Window.partitionBy("query").orderBy(F.col("accessibility").desc(), "similarity_rank")
     return (

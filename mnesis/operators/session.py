@@ -69,8 +69,13 @@ def collect_spans(surface: DataFrame, max_span_chars: int = 24_000) -> DataFrame
         .withColumn("used", F.sum(tx.utf16_length(F.col("text")) + EVENT_COST).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("used") <= max_span_chars)
     )
+    return _joined(kept, "session_id")
+
+
+def _joined(events: DataFrame, *by: str) -> DataFrame:
+    """Events of each group as one text in order of seq."""
     line = F.concat(F.lit("["), "role", F.lit(" @seq "), "seq", F.lit("] "), "text")
-    spans = kept.groupBy("session_id").agg(
+    spans = events.groupBy(*by).agg(
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
         F.count("*").alias("events"),
@@ -80,6 +85,23 @@ def collect_spans(surface: DataFrame, max_span_chars: int = 24_000) -> DataFrame
     return spans.withColumn("text", text).drop("lines").withColumn("approx_tokens", tx.estimate_tokens(F.col("text")))
 
 
+def all_spans(surface: DataFrame, max_span_chars: int = 24_000) -> DataFrame:
+    """Spans like :func:`collect_spans`, but for all events of a session: the newest as there, and the
+    events before it in further spans of about ``max_span_chars``.
+
+    The running sum is taken over narrow rows; texts are only grouped by (session, span).
+    """
+    newest = Window.partitionBy("session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cost = (tx.utf16_length(F.col("text")) + EVENT_COST).alias("cost")
+    placed = surface.select("session_id", "seq", cost).select("session_id", "seq", F.floor((F.sum("cost").over(newest) - 1) / max_span_chars).alias("span"))
+    return _joined(surface.join(placed, ["session_id", "seq"]), "session_id", "span").drop("span")
+
+
+def session_workspaces(log: DataFrame) -> DataFrame:
+    """The workspace whose store a session belongs to, ``(session_id, workspace)``: that of its first event."""
+    return log.groupBy("session_id").agg(F.min_by("workspace", F.when(F.col("workspace").isNotNull(), F.col("seq"))).alias("workspace"))
+
+
 def since_capture(surface: DataFrame, progress: DataFrame) -> DataFrame:
     """Surface events after each session's captured sequence number (all, without one)."""
     done = progress.select("session_id", "last_captured_seq")

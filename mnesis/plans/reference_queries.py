@@ -10,7 +10,8 @@ from mnesis.functions import embed, score, vectors
 from mnesis.functions import text as tx
 from mnesis.operators import dedupe, extract, items, recall, session
 from mnesis.plans.catalog import query
-from mnesis.workspace import materialize, read_table, spread
+from mnesis.sources.store import MemoryStore
+from mnesis.workspace import materialize, read_table, scratch_path, spread
 
 #: The time of all scores here: 2026-01-01, in ms.
 AS_OF = 1_767_225_600_000
@@ -368,7 +369,13 @@ def query_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query_cues(_log(spark, sf_dir)).select("session_id", "seq", F.md5("query").alias("hash"))
 
 
-@query("consolidate_raw")
+CHUNKS_SQL = rf"""with w as (select session_id, regexp_replace(text, '([\x{{10000}}-\x{{10ffff}}])', '\1' || chr(64976), 'g') as t from ({SPANS_SQL.replace('{}', SURFACE_SQL)})),
+    c as (select session_id, i as position, regexp_replace(replace(substr(t, i * 580 + 1, 700), chr(64976), ''), '^[{WS}\x0b]+|[{WS}\x0b]+$', '', 'g') as c
+      from w, lateral (select unnest(range(0, 1 + greatest(0, ceil((length(t) - 700) / 580.0)::int))) as i) where length(t) > 0)
+    select session_id, position::int as position, 'raw' as kind, md5(c) as hash from c where length(regexp_replace(c, '[\x{{10000}}-\x{{10ffff}}]', 'xx', 'g')) >= 32"""
+
+
+@query("consolidate_raw", CHUNKS_SQL)
 def consolidate_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sessions' spans cut into raw candidates."""
     spans = session.collect_spans(session.surface_events(_log(spark, sf_dir)))
@@ -455,7 +462,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECALL_SQL = f"""with v as ({USABLE_SQL}),
-    hits as (select q.id as query, v.id, round(list_dot_product(q.v::double[], v.v::double[]), 6) as similarity from v q, v where right(q.id, 1) = '0'),
+    hits as (select q.id as query, v.id, round(list_dot_product(q.v::double[], v.v::double[]), 6) as similarity from v q, v where ('0x' || right(q.id, 8))::bigint % 20 = 0),
     cut as (select *, row_number() over (partition by query order by similarity desc, id) as r from hits qualify r <= 32),
     s as (select query, cut.id, similarity, r, kind, importance, created_at, access_count, text,
       round((0.55::double * similarity + 0.25::double * {RECENCY_SQL} + 0.2::double * importance) * (0.5::double + 0.5::double * {STRENGTH_SQL}), 6) as accessibility
@@ -464,10 +471,10 @@ RECALL_SQL = f"""with v as ({USABLE_SQL}),
 
 
 def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recalls for a stated query set: the stored vectors whose id ends in 0, against all."""
+    """Recalls for a stated query set: the stored vectors whose id (its last 32 bits) is divisible by 20, against all."""
     index = materialize(_index(spark, sf_dir), "usable-vectors")
     known = _items(spark, sf_dir).select("id", "kind", "text", "importance", "created_at", "access_count")
-    return recall.recall(index.where("right(id, 1) = '0'"), index, known, AS_OF, Config())
+    return recall.recall(index.where("conv(right(id, 8), 16, 10) % 20 = 0"), index, known, AS_OF, Config())
 
 
 @query("recall_topk", f"select query, id, similarity, accessibility, rank from ({RECALL_SQL})")
@@ -516,8 +523,96 @@ def parse_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("id", F.col("position").cast("bigint").alias("position"), "c.kind", F.md5("c.text").alias("hash"))
 
 
-@query("memory_add")
+GREEDY_SQL = """with recursive v as ({rows}), e as materialized (
+      select a.g as g, a.n as a, b.n as b from v a join v b on a.g = b.g and a.n < b.n and round(list_dot_product(a.v::double[], b.v::double[]), 6) >= {limit}),
+    step(g, n, kept) as (select distinct g, 0::bigint, []::bigint[] from v union all
+      select v.g, v.n, case when exists (select 1 from e where e.g = v.g and e.b = v.n and list_contains(s.kept, e.a)) then s.kept else list_append(s.kept, v.n) end
+      from step s join v on v.g = s.g and v.n = s.n + 1),
+    last as (select g, max_by(kept, n) as kept from step group by g)
+    select v.* from v join last on last.g = v.g where list_contains(last.kept, v.n)"""
+ADDED_SQL = GREEDY_SQL.format(
+    rows=f"select 0 as g, row_number() over (order by s.id) as n, s.id, u.v from ({STORED_SQL}) s join ({USABLE_SQL}) u on u.id = s.id",
+    limit=Config().dedupe_similarity,
+)
+
+
+@query("memory_add", f"select id from ({ADDED_SQL})")
 def memory_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable items added to an empty store: what greedy deduplication keeps, by stored vectors."""
     rows = _items(spark, sf_dir).join(_index(spark, sf_dir), "id").select("id", "vector")
     return dedupe.greedy(rows, Config().dedupe_similarity, 512)
+
+
+# ---- the store: adding, and what a session's next request is given
+
+WIDE, NARROW = "".join(map(chr, (*range(0xFF01, 0xFF5F), 0xA0, 0x3000))), "".join(map(chr, (*range(0x21, 0x7F), 0x20, 0x20)))
+
+
+def embed_sql(texts: str) -> str:
+    """``(k, v)``: embeddings of ``texts`` ``(k, t)`` in SQL. It has no NFKC; full-width forms and spaces,
+    which the tables have, are mapped one by one."""
+    wide, narrow = WIDE.replace("'", "''"), NARROW.replace("'", "''")
+    return f"""with x as (select distinct k, lower(translate(t, '{wide}', '{narrow}')) as t from ({texts})),
+      w as (select k, regexp_extract_all(t, '[a-z0-9_]{{3,}}') as ws from x),
+      f as (select k, substr(t, i, n) as gram, 1 as c from x, unnest(range(1, 5)) a(n), lateral (select unnest(range(1, length(t) - n + 2)) as i)
+        union all select k, 'w:' || unnest(ws), 2 from w
+        union all select k, 'wb:' || ws[i] || ' ' || ws[i + 1], 3 from (select k, ws, unnest(range(1, len(ws))) as i from w)),
+      counts as (select k, gram, sum(c) as c from f group by all),
+      h as (select gram, {fnv_sql('gram')} as h from (select distinct gram from counts)),
+      b as (select k, h % 512 as bucket, sum(case when h % 2 = 0 then 1 else -1 end * (1 + 0.5::double * ln(1 + c))) as w from counts join h using (gram) group by all),
+      m as (select k, map_from_entries(list((bucket, w))) as m, sqrt(sum(w * w)) as n from b group by k)
+      select k, list_transform(range(512), lambda i: (coalesce(m[i], 0) / n)::float) as v from m"""
+
+
+CANDIDATES_SQL = rf"""select item_id, workspace, text, first, kind, importance, tags, sha256(concat_ws(chr(31), workspace, text, first::varchar)) as id from (
+    select n.* exclude (id), n.id as item_id, coalesce(o.workspace, '') as workspace, coalesce(o.first, 0) as first from ({STORED_SQL}) n
+    join (select id, arg_max(workspace, ingested_at) as workspace, arg_max(source_seqs[1], ingested_at) as first from memory_item where id is not null group by id) o on o.id = n.id)"""
+STORE_SQL = GREEDY_SQL.format(
+    rows=f"""select c.workspace as g, row_number() over (partition by c.workspace order by printf('%020d/%s', c.first, c.id)) as n, c.id, c.text, c.kind, c.importance, e.v
+      from (select id, any_value(workspace) as workspace, any_value(text) as text, any_value(first) as first, arg_min(kind, item_id) as kind, arg_min(importance, item_id) as importance from ({CANDIDATES_SQL}) group by id) c
+      join ({embed_sql(f"select id as k, text as t from ({CANDIDATES_SQL})")}) e on e.k = c.id""",
+    limit=Config().dedupe_similarity,
+)
+
+
+def _filled_store(spark: SparkSession, sf_dir: str) -> tuple[MemoryStore, DataFrame]:
+    """A store of all workspaces, to which all items of the table were added."""
+    store = MemoryStore(spark, config=Config.of({"storage_root": scratch_path(spark, "store")}))
+    # copies of one candidate may differ in kind and importance; that of the smallest id is added
+    rows = items.latest_items(read_table(spark, sf_dir, "memory_item"))
+    same = rows.groupBy("workspace", tx.trim(F.col("text")).alias("_t"), F.coalesce(F.get("source_seqs", 0), F.lit(0)).alias("_f"))
+    candidates = same.agg(F.min_by(F.struct("kind", "text", "importance", "tags", "source_seqs"), "id").alias("c")).select("workspace", "c.*")
+    return store, store.add(candidates, AS_OF)
+
+
+@query("store_add", f"select g as workspace, id, md5(text) as hash from ({STORE_SQL})")
+def store_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items added to an empty store: normalised, embedded, and kept where their workspace has nothing like them."""
+    return _filled_store(spark, sf_dir)[1].select("workspace", "id", F.md5("text").alias("hash"))
+
+
+DAY = 86_400_000
+CUES_SQL = rf"""with log as ({LOG_SQL}), cues as (
+      select session_id, seq, 0 as i, {TEXT_SQL.format('e.d.content')} as t from log where e.t = 'user/message' and e.d.role = 'user' and coalesce(e.d.source.kind, '') <> 'plugin'
+      union all select session_id, seq, i - 1, {TEXT_SQL.format('m.content')} from (select session_id, seq, generate_subscripts(e.d.inserted, 1) as i, unnest(e.d.inserted) as m from log where e.t = 'agent/inbox/spliced' and e.d.target = 'next-turn') where m."role" = 'user'),
+    ready as (select session_id, seq, i, regexp_replace(t, '^[{WS}]+|[{WS}]+$', '', 'g') as t from cues),
+    homes as (select session_id, coalesce(arg_min(workspace, seq), '') as workspace from session_events where session_id is not null and seq is not null and workspace is not null group by 1)
+    select session_id, workspace, substr(t, 1, 1200) as t from ready join homes using (session_id) where length(t) >= 2 or (length(t) = 1 and unicode(t) > 65535)
+    qualify row_number() over (partition by session_id order by seq desc, i desc, t desc) = 1"""
+CONTEXT_SQL = f"""with cues as materialized ({CUES_SQL}), kept as materialized ({STORE_SQL}),
+    q as (select session_id, workspace, v from cues join ({embed_sql('select session_id as k, t from cues')}) e on e.k = session_id),
+    hits as (select session_id, id, kind, text, importance, round(list_dot_product(q.v::double[], kept.v::double[]), 6) as s from q join kept on kept.g = q.workspace),
+    cut as (select *, row_number() over (partition by session_id order by s desc, id) as r from hits qualify r <= 32),
+    reach as (select *, round((0.55::double * s + 0.25::double * exp(-{DAY} / 604800000.0) + 0.2::double * importance) * 0.5::double, 6) as a from cut where s >= 0.24),
+    ranked as (select *, row_number() over (partition by session_id order by a desc, r) as n from reach qualify n <= 6)
+    select session_id, md5('{recall.HEADER}' || chr(10) || string_agg(printf('- [%s | rel %.2f | importance %.1f | 1.0d old | rehearsed 0×] %s', kind, floor(s * 100 + 0.5) / 100, floor(importance * 10 + 0.5) / 10, text), chr(10) order by n)) as hash,
+      string_agg(id, ',' order by n) as ids from ranked group by session_id"""
+
+
+@query("store_recall", CONTEXT_SQL)
+def store_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that every session's next request is given, a day after all items were added to the store:
+    its latest cue recalls from the store of its workspace."""
+    store, _ = _filled_store(spark, sf_dir)
+    shown = store.context(_log(spark, sf_dir), AS_OF + DAY)
+    return shown.select("session_id", F.md5("text").alias("hash"), F.array_join("ids", ",").alias("ids"))

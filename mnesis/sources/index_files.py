@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from mnesis.workspace import exists
 
+#: Bytes written at a time.
+WRITE_BYTES = 1 << 20
 SCHEMA = "id string, row_no bigint, vector array<float>"
 
 
@@ -50,22 +52,37 @@ def read_index(spark: SparkSession, folder: str, dim: int = 512) -> DataFrame |
 
 
 def write_index(vectors: DataFrame, folder: str, dim: int = 512) -> None:
-    """Write ``index.bin`` and ``index.json`` for a host that reads these files.
+    """Write ``index.bin`` and ``index.json`` for a host that reads these files, on any file system.
 
     The format is one file in one order, so the rows are streamed through the driver a partition at a
-    time; bulk indexes are kept as parquet instead.
+    time; bulk indexes are kept as parquet instead. Each file appears whole, under its name.
     """
-    import os
-    import tempfile
+    spark = vectors.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+
+    def publish(name: str, parts: Iterator[bytes]) -> None:
+        fresh, final = hadoop.Path(f"{folder}/.{name}.new"), hadoop.Path(f"{folder}/{name}")
+        out = fs.create(fresh, True)
+        for part in parts:
+            out.write(bytearray(part))
+        out.close()
+        fs.delete(final, False)
+        fs.rename(fresh, final)
 
-    os.makedirs(folder, exist_ok=True)
     ids: list[str] = []
-    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+
+    def rows() -> Iterator[bytes]:
+        held: list[bytes] = []
         for row in vectors.select("id", "vector").orderBy("id").toLocalIterator(prefetchPartitions=True):
             if row.vector is not None and len(row.vector) == dim:
                 ids.append(row.id)
-                f.write(np.asarray(row.vector, dtype="<f4").tobytes())
-    os.replace(f.name, f"{folder}/index.bin")
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as g:
-        json.dump({"v": 1, "dim": dim, "ids": ids}, g)
-    os.replace(g.name, f"{folder}/index.json")
+                held.append(np.asarray(row.vector, dtype="<f4").tobytes())
+                if len(held) * dim * 4 >= WRITE_BYTES:
+                    yield b"".join(held)
+                    held.clear()
+        yield b"".join(held)
+
+    publish("index.bin", rows())
+    publish("index.json", iter([json.dumps({"v": 1, "dim": dim, "ids": ids}).encode()]))
