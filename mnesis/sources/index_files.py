@@ -60,6 +60,7 @@ def write_index(vectors: DataFrame, folder: str, dim: int = 512) -> None:
     spark = vectors.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # the host that shares the files writes none
     fs.mkdirs(hadoop.Path(folder))
 
     def publish(name: str, parts: Iterator[bytes]) -> None:
@@ -84,5 +85,8 @@ def write_index(vectors: DataFrame, folder: str, dim: int = 512) -> None:
                     held.clear()
         yield b"".join(held)
 
-    publish("index.bin", rows())
-    publish("index.json", iter([json.dumps({"v": 1, "dim": dim, "ids": ids}).encode()]))
+    try:
+        publish("index.bin", rows())
+        publish("index.json", iter([json.dumps({"v": 1, "dim": dim, "ids": ids}).encode()]))
+    finally:
+        fs.setWriteChecksum(True)
