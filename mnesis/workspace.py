@@ -99,6 +99,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make the folder at ``path``, if it isn't there."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
+
+
 def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
     """Replace the versioned table at ``path`` at once: readers see the old version or the new one.
 
