@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from mnesis.workspace import exists, make_dir, materialize, scratch_path
+from mnesis.workspace import exists, make_dir, scratch_path
 
 #: A key of the state holds 2 ** BLOCK_BITS sequence numbers.
 BLOCK_BITS = 10
@@ -202,7 +202,6 @@ def _messages(blocks: DataFrame, verdicts: DataFrame, bases: DataFrame) -> DataF
     )
 
 
-VERDICTS = "session_id string, whole boolean, revision bigint"
 MESSAGES = "session_id string, pos bigint, seq bigint, role string, revision bigint"
 
 
@@ -240,23 +239,27 @@ class Rebuilder:
 
         def emit(batch: DataFrame, revision: int) -> None:
             closed = batch.select("session_id").distinct()
-            blocks = merged_blocks(self.fragments().join(closed, "session_id", "left_semi"))
+            fragments = self.fragments()
+            # narrow rows find the blocks; then one exchange by session and block serves all that follows
+            wanted = fragments.select("session_id", "block").distinct().join(closed, "session_id", "left_semi")
+            blocks = merged_blocks(fragments.join(wanted, ["session_id", "block"], "left_semi"))
             verdicts, bases = validate(summaries(blocks))
-            verdicts = materialize(verdicts, "verdicts")
-            # a batch that is run again writes the same folders again
-            _messages(blocks, verdicts, bases).write.mode("overwrite").parquet(f"{self.folder}/messages/revision={revision}")
-            verdicts.write.mode("overwrite").parquet(f"{self.folder}/verdicts/revision={revision}")
+            # a session that isn't whole is marked, so that it replaces what was emitted of it before
+            marks = verdicts.where("not whole").select("session_id", *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "bigint"), ("seq", "bigint"), ("role", "string"))])
+            # a batch that is run again writes the same folder again
+            _messages(blocks, verdicts, bases).unionByName(marks).write.mode("overwrite").parquet(f"{self.folder}/messages/revision={revision}")
 
         return closing.writeStream.foreachBatch(emit).option("checkpointLocation", f"{self.folder}/state/sessions").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
     def emitted(self) -> DataFrame:
         """Messages of whole conversations as last emitted: ``(session_id, pos, seq, role)``."""
-        if not exists(self.spark, f"{self.folder}/verdicts"):
+        if not exists(self.spark, f"{self.folder}/messages"):
             return self.spark.createDataFrame([], MESSAGES).drop("revision")
-        verdicts = self.spark.read.schema(VERDICTS).parquet(f"{self.folder}/verdicts")
-        last = verdicts.groupBy("session_id").agg(F.max_by("whole", "revision").alias("whole"), F.max("revision").alias("revision"))
         messages = self.spark.read.schema(MESSAGES).parquet(f"{self.folder}/messages")
-        return messages.join(last.where("whole").select("session_id", "revision"), ["session_id", "revision"]).select("session_id", "pos", "seq", "role")
+        revisions = messages.groupBy("session_id").agg(F.min("revision").alias("first"), F.max("revision").alias("last"))
+        again = revisions.where("first < last").select("session_id", "last")
+        old = (messages["session_id"] == again["session_id"]) & (messages["revision"] < again["last"])
+        return messages.join(again, old, "left_anti").where("role is not null").select("session_id", "pos", "seq", "role")
 
     def _end(self, name: str, schema: T.StructType, time: str) -> None:
         """A row far in the future, after all others, which moves the watermark past every window."""
@@ -279,9 +282,11 @@ class Rebuilder:
         if late:
             raise ValueError(f"{late} rows came later than {self.lateness}; raise lateness")
 
-    def to_end(self) -> DataFrame:
-        """Take all that is there, end both streams, and return what was emitted."""
-        self._run(self.start_fragments)
+    def to_end(self, one_batch: bool = False) -> DataFrame:
+        """Take all that is there, end both streams, and return what was emitted. The end mark may come
+        with the rows where these are one batch."""
+        if not one_batch:
+            self._run(self.start_fragments)
         self._end("events", self.keyed.schema, "event_time")
         self._run(self.start_fragments)
         self._end("fragments", T.StructType([self.fragment_schema["session_id"], self.fragment_schema["closed"]]), "closed")
@@ -300,4 +305,4 @@ def rebuild(spark: SparkSession, path: str, lateness: str = "30 days", idle: str
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     # as a pattern, the path may be a folder or a single file
-    return Rebuilder(spark, reader.parquet(f"{path[:-1]}[{path[-1]}]"), lateness, idle).to_end()
+    return Rebuilder(spark, reader.parquet(f"{path[:-1]}[{path[-1]}]"), lateness, idle).to_end(one_batch=not max_files)
