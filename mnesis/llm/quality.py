@@ -4,8 +4,10 @@
 count characters and words; the shares count the characters of lines by the form of the line.
 *Weak labels* vote from the shares of lines and a few signs of junk. *Gradient-boosted trees* are
 trained on a bounded sample (``TRAIN_ROWS``) of weakly labelled documents, half of it of the rarer
-forms, and calibrated on a hand-checked holdout, of which at most ``HOLDOUT_ROWS`` documents are used
-(those whose annotators agree on one of the four forms).
+forms. They don't see what the labels are made of (:data:`LABEL_PARTS`), so they learn the forms from
+other signs and decide where the labels abstain. They are calibrated on one half of the hand-checked
+documents (those whose annotators agree on one of the four forms, ``HOLDOUT_ROWS`` at most); the other
+half is kept apart for :func:`report`.
 
 Scale. One scan in Arrow batches, written to the shared folder; the sample goes to the driver within
 its bound; scoring is a second scan over the statistics only. The label join is on doc_id.
@@ -18,6 +20,7 @@ doc_ids give a row each in the statistics and one in the forms. Other columns ar
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -70,14 +73,23 @@ _UPPER = re.compile(r"[A-ZÄÖÜ]")
 _WIDE = re.compile(r"[０-９Ａ-Ｚａ-ｚ]")
 _NARROW = {c: c - 0xFEE0 for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
 _HEX_PAIRS = frozenset(f"{i:02x}" for i in range(256))
+_MARKED = re.compile(r"^[ \t]*(?:[^\w\s]|\(?\w{1,3}[.)、])[ \t]", re.M)
+_DIGIT_WORD = re.compile(r"[^\W\d_]+\d\w*|\d+[^\W\d_]\w*")
+_CAPITAL = re.compile(r"\b[A-ZÄÖÜ][a-zäöüß]+")
+_VOWEL = re.compile(r"[aeiouyäöüéè]")
 _VOWELLESS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 
 STATISTICS = (
     "chars words lines mean_word_length longest_word mean_line_words symbol_ratio digit_ratio upper_ratio space_ratio "
     "end_punctuation common_words distinct_words distinct_sentences repeated single_letters cjk garbled consonants hex_words "
     "long_tokens words_per_sentence commas_per_word prose_share list_share table_share junk_share bullet_share short_share "
-    "loose_share common_in_text distinct_lines"
+    "loose_share common_in_text distinct_lines bars_per_line tabs_per_line gaps_per_line equals_per_word colons_per_word "
+    "tags_per_line brackets_per_word slashes_per_word marked_lines short_lines long_lines line_spread compressed vowels "
+    "words_with_digits capitalised stops_per_word cjk_stops cjk_pauses common_spread plain_lines"
 ).split()
+#: What the weak labels are made of. The trees don't see it, so they have to tell the forms by other signs.
+LABEL_PARTS = frozenset("prose_share list_share table_share junk_share bullet_share short_share loose_share common_in_text".split())
+FEATURES = [x for x in STATISTICS if x not in LABEL_PARTS]
 SCHEMA = ", ".join(f"{s} float" for s in STATISTICS) + ", weak int"
 
 
@@ -249,6 +261,7 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
         _common(said_words),
         len(distinct) / max(1, count_lines),
     ]
+    values += _surface(text, lower, count, chars, count_lines, alnum)
     top = int(np.argmax(parts[1:])) + 1
     # weak votes: only of clear shares
     if parts[0] > 0.5:
@@ -256,6 +269,40 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
     return values, top if parts[top] > 0.45 else -1
 
 
+def _surface(text: str, lower: list[str], count: int, chars: int, lines: int, alnum: int) -> list[float]:
+    """Counts of marks, lines and characters that no label is made of."""
+    lines = max(1, lines)
+    sizes = np.array([len(s) for line in text.splitlines() if (s := line.strip())] or [0])
+    raw = text.encode("utf-8", "replace")
+    # common words in tenths of the text: prose has them throughout
+    step = max(1, -(-len(lower) // 10))
+    tenths = [_common(lower[i : i + step]) for i in range(0, len(lower), step)]
+    plain = sum(_common(_WORD.findall(line)) >= 0.2 for line in text.lower().splitlines())
+    return [
+        text.count("|") / lines,
+        text.count("\t") / lines,
+        text.count("  ") / lines,
+        text.count("=") / count,
+        (text.count(":") + text.count("：")) / count,
+        text.count("<") / lines,
+        sum(map(text.count, "()[]{}")) / count,
+        (text.count("/") + text.count("\\")) / count,
+        len(_MARKED.findall(text)) / lines,
+        float(sizes[sizes <= 30].sum()) / max(1, int(sizes.sum())),
+        float(sizes[sizes >= 80].sum()) / max(1, int(sizes.sum())),
+        float(sizes.std() / max(1.0, sizes.mean())),
+        len(zlib.compress(raw, 1)) / len(raw),
+        len(_VOWEL.findall(text.lower())) / max(1, alnum),
+        len(_DIGIT_WORD.findall(text)) / count,
+        len(_CAPITAL.findall(text)) / count,
+        (text.count(". ") + text.count(".\n") + text.count("? ") + text.count("! ")) / count,
+        sum(map(text.count, "。！？")) / chars,
+        sum(map(text.count, "，、；")) / chars,
+        min(tenths, default=0.0),
+        plain / lines,
+    ]
+
+
 def document_statistics(documents: DataFrame) -> DataFrame:
     """``(doc_id, <statistics>, weak)`` of every document, null where the text is null or blank."""
 
@@ -272,7 +319,8 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame | None, seed: int = 3) -> BoostedTrees | None:
-    """Trees on a bounded sample of weakly labelled statistics, calibrated on hand-checked labels."""
+    """Trees on a bounded sample of weakly labelled statistics, calibrated on one half of the hand-checked
+    labels (the other half is kept for :func:`report`)."""
     usable = stats.where("weak >= 0").withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     sizes = {r.weak: r.n for r in usable.groupBy("weak").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -283,21 +331,43 @@ def train(stats: DataFrame, labels: DataFrame | None, seed: int = 3) -> BoostedT
     y = sample["weak"].to_numpy(dtype=np.int64)
     kept = {f: max(1, int((y == f).sum())) for f in sizes}
     weight = np.array([sizes[f] / kept[f] for f in y])
-    model = BoostedTrees(len(FORMS)).fit(sample[list(STATISTICS)].to_numpy(dtype=np.float64), y, weight / weight.mean())
+    model = BoostedTrees(len(FORMS)).fit(sample[FEATURES].to_numpy(dtype=np.float64), y, weight / weight.mean())
     if labels is not None:
-        agreed = (
-            labels.select("doc_id", F.lower(F.trim("form")).alias("form"))
-            .where(F.col("form").isin(*FORMS))
-            .groupBy("doc_id")
-            .agg(F.min("form").alias("form"), F.max("form").alias("other"))
-            .where("form = other")
-        )
-        held = stats.where("weak is not null").join(agreed, "doc_id").withColumn("draw", F.xxhash64("doc_id", F.lit(seed + 1)))
-        holdout = held.orderBy("draw").limit(HOLDOUT_ROWS).toPandas()
-        model.calibrate(holdout[list(STATISTICS)].to_numpy(dtype=np.float64), holdout["form"].map(FORMS.index).to_numpy(dtype=np.int64))
+        held = hand_checked(stats, labels, seed).where("half = 0").orderBy("draw").limit(HOLDOUT_ROWS).toPandas()
+        model.calibrate(held[FEATURES].to_numpy(dtype=np.float64), held["form"].map(FORMS.index).to_numpy(dtype=np.int64))
     return model
 
 
+def hand_checked(stats: DataFrame, labels: DataFrame, seed: int = 3) -> DataFrame:
+    """Statistics of the documents whose annotators agree on one of the four forms, with that ``form`` and
+    the ``half`` they fall in: 0 calibrates, 1 is kept apart."""
+    agreed = (
+        labels.select("doc_id", F.lower(F.trim("form")).alias("form"))
+        .where(F.col("form").isin(*FORMS))
+        .groupBy("doc_id")
+        .agg(F.min("form").alias("form"), F.max("form").alias("other"))
+        .where("form = other")
+    )
+    draw = F.xxhash64("doc_id", F.lit(seed + 1))
+    return stats.where("weak is not null").join(agreed.drop("other"), "doc_id").withColumn("draw", draw).withColumn("half", F.pmod(draw, F.lit(2)))
+
+
+def report(stats: DataFrame, labels: DataFrame, seed: int = 3) -> dict[str, float]:
+    """Share of the hand-checked documents kept apart on which each step agrees with the annotators: the
+    weak rule (an abstention is wrong), the trees, the calibrated trees."""
+    model = train(stats, labels, seed)
+    held = hand_checked(stats, labels, seed).where("half = 1").orderBy("draw").limit(HOLDOUT_ROWS).toPandas()
+    y = held["form"].map(FORMS.index).to_numpy(dtype=np.int64)
+    x = held[FEATURES].to_numpy(dtype=np.float64)
+    calibrated = model.probabilities(x).argmax(axis=1)
+    return {
+        "documents": len(y),
+        "rule": float((held["weak"].to_numpy() == y).mean()),
+        "trees": float((model.raw(x).argmax(axis=1) == y).mean()),
+        "calibrated": float((calibrated == y).mean()),
+    }
+
+
 def classify(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``(doc_id, form, p_prose, p_list, p_table, p_junk)`` of every document with text."""
     stats = materialize(document_statistics(documents), "doc-statistics")
@@ -310,7 +380,7 @@ def classify(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            p = shared.value.probabilities(batch[list(STATISTICS)].to_numpy(dtype=np.float64))
+            p = shared.value.probabilities(batch[FEATURES].to_numpy(dtype=np.float64))
             out = pd.DataFrame(p, columns=[f"p_{f}" for f in FORMS])
             # not prose where prose has less than half; then the likeliest of the other forms
             form = np.where(p[:, 0] > 0.5, 0, p[:, 1:].argmax(axis=1) + 1)

@@ -72,3 +72,19 @@ def test_edges(spark):
         assert Q.classify(docs, hand).count() == 5
     assert Q.classify(spark.createDataFrame([], schema), some).collect() == []
     assert Q.classify(docs.where("text is null"), some).collect() == []
+
+
+def test_trees_learn_the_forms_without_what_the_labels_are_made_of(spark, sf):
+    assert not Q.LABEL_PARTS & set(Q.FEATURES) and Q.LABEL_PARTS < set(Q.STATISTICS)
+    folder = sf.replace("0.001", "0.01")
+    stats = Q.document_statistics(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{folder}/doc_labels.parquet")
+    halves = [set(r.doc_id for r in Q.hand_checked(stats, labels).where(f"half = {h}").select("doc_id").collect()) for h in (0, 1)]
+    assert halves[0] and halves[1] and not halves[0] & halves[1]
+    # out of sample: trees of even documents on odd ones
+    model = Q.train(stats.where("doc_id % 2 = 0"), None)
+    odd = stats.where("doc_id % 2 = 1 and weak >= 0").toPandas()
+    agree = model.raw(odd[Q.FEATURES].to_numpy(dtype=float)).argmax(axis=1) == odd["weak"].to_numpy()
+    assert agree.mean() > 0.97
+    got = Q.report(stats, labels)
+    assert got["calibrated"] >= got["rule"] - 0.05 and got["documents"] == len(halves[1])
