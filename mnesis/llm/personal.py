@@ -2,14 +2,17 @@
 
 *Candidates.* Broad patterns propose spans of five types. *Labelers* vote on each (yes, no, abstain):
 the strictness of the format, gazetteers and number plans, the context to the left and to the right,
-the field it fills, and links such as a surname that returns in an email address of the same text.
-*Aggregation.* Votes are counted by pattern over all candidates of the whole table; expectation-
-maximisation over the pattern counts estimates each labeler's reliability. *Classifier.* A logistic
-model over the votes, neighbouring words and shapes is trained on a bounded sample (``TRAIN_ROWS``) of
-candidates weighted by those estimates, and decides on every candidate.
-
-Scale. Two scans at most and no shuffle of texts: candidates go to the shared folder, the vote counts
-(at most 3 ** 6 patterns a type) and the sample to the driver, both bounded.
+the field it fills, links such as a surname that returns in an email address of the same text, and
+usage: whether the corpus has a name's words in lower case too. *Aggregation.* Votes are counted by
+pattern over all candidates of the whole table; expectation-maximisation over the pattern counts
+estimates each labeler's reliability. *Classifier.* A logistic model over what no labeler sees
+(neighbouring words, shapes, pieces of the words) is trained on a bounded sample (``TRAIN_ROWS``) of
+candidates weighted by those estimates. Votes and classifier are two views of a candidate; the sum of
+their log odds decides.
+
+Scale. Three scans (words in lower case, candidates, and the placeholders of :func:`redact`) and no
+shuffle of texts: candidates go to the shared folder; the counts of ``SLOTS`` words, the vote counts (at
+most 3 ** 7 patterns a type) and the sample go to the driver, all bounded.
 
 Edge cases. Null and blank texts hold nothing; rows without id give no rows. Very long texts are read
 whole. Repeated rows count once. Overlapping spans: the likelier wins, then the earlier and longer.
@@ -19,6 +22,7 @@ An empty table gives an empty result; other columns are ignored by :func:`find_p
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,9 +37,13 @@ from mnesis.workspace import materialize, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-LABELERS = ("format", "gazetteer", "left", "right", "field", "link")
+LABELERS = ("format", "gazetteer", "left", "right", "field", "link", "usage")
 #: Candidates on which the classifier is trained, at most, and its hashed features.
-TRAIN_ROWS, FEATURES = 20_000, 1 << 13
+TRAIN_ROWS, FEATURES = 20_000, 1 << 14
+#: Counters of the sketch of words in lower case, and how often a common word is met at least.
+SLOTS, COMMON = 1 << 20, 3
+#: Labelers whose abstention means nothing.
+SILENT = (LABELERS.index("gazetteer"),)
 
 #: Common given names of several countries that are no English or German words.
 GIVEN_NAMES = frozenset(
@@ -120,6 +128,10 @@ _STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|boulevard|
 _HOUSE = r"(?:no\.?\s*)?\d{1,5}\s?[a-z]?"
 _UNIT = r"(?:(?:apt|apartment|unit|flat|suite|ste|room|#)\.?\s*\d+\s?[a-z]?,?\s+)"
 ADDRESS = re.compile(rf"(?<![\w.\-/@#])(?:{_UNIT}?{_HOUSE}\s+(?:[^\W\d_][\w'’\-]*\s+){{1,4}}?{_STREET}\b\.?|{_UNIT}?{_HOUSE},?\s+(?:rue|avenue|boulevard|place|chemin|impasse|allée|via|calle)\s+(?:(?:de|du|des|la|le|l'|d'|della|del)\s*)*[^\W\d_][\w\-]*)", re.I)
+_WAY = r"(?:rue|avenue|avenida|boulevard|place|plaza|piazza|chemin|impasse|allée|via|viale|calle|rua|paseo|paseig)"
+FOREIGN = re.compile(rf"\b{_WAY}\s", re.I)
+#: The house after the street, as in Spanish, Portuguese and Italian.
+AVENIDA = re.compile(rf"(?<![\w.\-/])(?:avenida|calle|rua|via|viale|piazza|plaza|paseo|corso)\s+(?:(?:de|del|della|di|da|do|dos|das|la|los|las)\s+)*[A-ZÀ-Þ][\w'’\-]*(?:\s+(?:(?:de|del|da|do|di)\s+)?[A-ZÀ-Þ][\w'’\-]*){{0,2}},?\s+(?:n[.º°]?\s*)?\d{{1,5}}(?![\w\-])", re.I)
 BOX = re.compile(r"(?<![\w.])(?:p\.?\s?o\.?\s?box|post office box|postfach)\s*\d+", re.I)
 STRASSE = re.compile(r"(?<![\w.\-/])(?:(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den|AM|am)\s+)?[A-ZÄÖÜa-zäöü][\w\-]*(?:straße|strasse|str\.|platz|weg|allee|gasse|ring|ufer|damm|STRASSE|PLATZ|WEG)\s+\d{1,4}\s?[a-z]?(?![\w\-])")
 HAUS = re.compile(r"(?:住在|寄到|送到|住址是?|地址是?|位于|搬到|家在)?[:：]?((?:[一-鿿]{2,3}省)?(?:[一-鿿]{2,3}市)?(?:[一-鿿]{1,3}区)?[一-鿿]{1,5}?(?:路|街|大道|巷|弄|胡同)\d{1,5}号)")
@@ -131,6 +143,11 @@ REVERSED = re.compile(rf"(?<![\w.@/\-])(?P<family>{_CAP}),\s?(?P<given>(?:{_CAP}
 HAN_NAME = re.compile(rf"(?:{'|'.join(COMPOUND_SURNAMES)})[一-鿿]{{1,2}}")
 #: A surname of one character starts many words, so only where a person is announced or addressed.
 HAN_SHORT = re.compile(rf"(?:(?<=联系人)|(?<=负责人)|(?<=收件人)|(?<=经办人)|(?<=审核人)|(?<=请找)|(?<=姓名)|(?<=作者)|(?<=我叫)|(?<=名叫))[是为叫：:]?(?P<name>[{SURNAMES}][一-鿿]{{1,2}})(?![一-鿿])|(?P<called>[{SURNAMES}][一-鿿]{{1,2}}?)(?=先生|女士|小姐|博士)")
+#: Words that follow a person who does something, and characters that don't stand in a given name.
+_HAN_ACTS = "昨天|今天|明天|上周|下周|已经|刚刚|正在|提交|修复|负责|说|问|写|回复|认为|建议|同意|提出|表示|告诉|发现|完成|合并|审核"
+_HAN_PLAIN = "的之是了在和与章节年月日号个们这那有不也就都很到上下多少一二三四五六七八九十末天前后里中间时候额次条点分并且或请把被将从向给"
+HAN_ACTOR = re.compile(rf"(?:(?<![一-鿿])|(?<=[由和跟与请让给找]))(?P<name>[{SURNAMES}][^\W\da-zA-Z_{_HAN_PLAIN}]{{1,2}}?)(?={_HAN_ACTS})")
+_HAN_FUNCTION = re.compile(f"[{_HAN_PLAIN}]")
 HAN_ANY = re.compile(r"(?<=联系人是|负责人：|负责人:|负责人是|联系人：)[一-鿿]{2,4}(?![一-鿿])|(?<=请找)[一-鿿]{2,4}(?![一-鿿])")
 
 _AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
@@ -138,13 +155,13 @@ _AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
 _ID_CUE = r"ssn|social|tin|tax\w*|insurance|nino|ni number|national\w*|passport|passnummer|reisepass|document|ausweis\w*|personalausweis|identity|identity card|id card|id number|steuer\w*|sozialversicherung\w*|identification|身份证\w*|护照\w*|证件\w*|税号"
 _ID_WORD = re.compile(_ID_CUE)
 _PHONE_LEFT = re.compile(r"(?:phone|tel|mobile|cell|call|text|ring|fax|number|contact|reach|dial|left|whatsapp|handy|telefon|mobil|anrufen|unter|nummer|电话|手机|打|致电|号码)(?:\W*(?:no|nr|is|at|on|number|unter|是)?)?\W*$", re.I)
-_PHONE_NOT = re.compile(r"(?:build|offset|timestamp|size to|port|ticket|commit|trace|version|page|bytes|failed|error|code|line|row|entry|pid|serial|order|invoice|binds)\W*$", re.I)
-_AFTER_NOT = re.compile(r"\s*(?:bytes|byets|ms|items|rows|entries|sec|seconds|times|precedes|failed|percent|%|tokens|lines|KB|MB|GB)\b", re.I)
+_PHONE_NOT = re.compile(r"(?:build|offset|timestamp|size|port|ticket|commit|trace|version|page|bytes|failed|error|code|line|row|entry|pid|serial|order|invoice|listens on)\W*$", re.I)
+_AFTER_NOT = re.compile(r"\s*(?:bytes|ms|items|rows|entries|sec|seconds|times|failed|percent|%|tokens|lines|KB|MB|GB)\b", re.I)
 _ID_LEFT = re.compile(rf"(?:{_ID_CUE})(?:[\s\w]{{0,12}}?(?:number|no|nr|id|num|号码|号|code)?\.?)?(?:\s+is|\s+ist|是|为)?\W*$", re.I)
 _ID_NOT = re.compile(r"(?:build|offset|timestamp|ticket|commit|trace|version|serial|order|invoice|sku|model|part)\W*$", re.I)
-_HOME_LEFT = re.compile(r"(?:lives at|live at|visit|addr\w*|ship\w* (?:it )?to|ship_to|parcel goes to|goes to|deliver\w* to|street|from|wohnt in|anschrift|adresse|lieferung an|住在|寄到|送到|地址\w*)\W*$", re.I)
-_NAME_LEFT = re.compile(r"(?:contact is|ask|cc|off by|came from|reported by|spoke to|call with|according to|later|when|reviewer|owner|author|name|assignee|mr\.?|ms\.?|mrs\.?|miss|dr\.?|prof\.?|herrn?|frau|gemeldet von|bitte an|ansprechpartner(?:in)? ist|mail an|联系人是|负责人|请找)\W*$", re.I)
-_NAME_RIGHT = re.compile(r"(?:,?\s*(?:who|she said|he said|they said)\b|\s+(?:asked about|and the|and reviewer|and mobile|and travel|from the ticket)|\s*\(from the ticket|\s*\(?\s*[\w.+\-]+\s?@)", re.I)
+_HOME_LEFT = re.compile(r"(?:lives at|live at|visit|addr\w*|ship\w* (?:it )?to|ship_to|sent? to|goes to|deliver\w* to|street|from|wohnt in|anschrift|adresse|lieferung an|住在|寄到|送到|地址\w*)\W*$", re.I)
+_NAME_LEFT = re.compile(r"(?:contact is|ask|cc|signed by|thank|met|reported by|spoke to|call with|according to|from|with|by|and|reviewer|owner|author|name|assignee|mr\.?|ms\.?|mrs\.?|miss|dr\.?|prof\.?|herrn?|frau|gemeldet von|bitte an|ansprechpartner(?:in)? ist|mail an|联系人是|负责人|请找)\W*$", re.I)
+_NAME_RIGHT = re.compile(r"(?:,?\s*(?:who|she said|he said|they said)\b|\s+(?:asked|said|wrote|called|reviewed|replied|agreed|thinks|suggested|joined|fixed|reported|noticed)\b|\s*\(?\s*[\w.+\-]+\s?@)", re.I)
 _NAME_NOT = re.compile(r"\s+(?:bridge|street|lane|avenue|road|release|module|drive|court|terrace|blvd|hotfix|project|server|branch|cluster)\b", re.I)
 _FIELD = re.compile(r"(?:^|[\n|/]\s*|--\s*|[\w\"']\s*[:=]\s*[\"']?|[<(]\s*)$")
 _CLOSE = re.compile(r"[\"'>)]?\s*(?:$|[\n|;,.。；，}])")
@@ -170,15 +187,16 @@ def _valid_citizen(d: str) -> bool:
     return "18" <= d[6:8] <= "20" and "01" <= d[10:12] <= "12" and "01" <= d[12:14] <= "31"
 
 
-def candidates(text: str) -> list[Candidate]:
-    """All spans that could be personal information, with the labelers' votes."""
+def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
+    """All spans that could be personal information, with the labelers' votes. ``common`` marks the slots
+    of words that the corpus uses in lower case; without it, that labeler abstains."""
     out: list[Candidate] = []
     locals_: set[str] = set()
     low = text.lower()
 
-    def add(kind: int, start: int, end: int, form: int, gazetteer: int, left: int, right: int, link: int = 0) -> None:
+    def add(kind: int, start: int, end: int, form: int, gazetteer: int, left: int, right: int, link: int = 0, usage: int = 0) -> None:
         before, after = text[max(0, start - 40) : start], text[end : end + 3]
-        out.append(Candidate(kind, start, end, (form, gazetteer, left, right, _vote(_FIELD.search(before) and _CLOSE.match(after)), link)))
+        out.append(Candidate(kind, start, end, (form, gazetteer, left, right, _vote(_FIELD.search(before) and _CLOSE.match(after)), link, usage)))
 
     if _AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
@@ -242,14 +260,16 @@ def candidates(text: str) -> list[Candidate]:
             id_cue = _ID_LEFT.search(before) and not cue
             add(1, a, b, _vote(plan and not bare, not plan), _vote(known or re.search(r"555[ .\-]?01\d\d$", s) or (cue and _PLANS[3].match(s))), _vote(cue, not_cue or id_cue), _vote(re.match(r"\s*(?:ext|x|durchwahl|分机)\b", after, re.I), _AFTER_NOT.match(after)))
 
-    for pattern, form in ((ADDRESS, 1), (BOX, 1), (STRASSE, 1)):
+    for pattern in (ADDRESS, BOX, STRASSE, AVENIDA):
         for m in pattern.finditer(text):
             a, b = m.start(), m.end()
             if not free(a, b):
                 continue
             before = low[max(0, a - 40) : a]
             inner = [w[0].isupper() for w in re.findall(r"\b[^\W\d_]{2,}", m[0])]
-            foreign = re.search(r"\b(?:rue|avenue|boulevard|place|chemin|impasse|allée|via|calle)\s", m[0])
+            foreign = FOREIGN.search(m[0])
+            if pattern is AVENIDA and not m[0].split()[-2][0].isupper() and not re.search(r"\s[A-ZÀ-Þ]", m[0]):
+                continue  # "via 12 hops"
             if pattern is ADDRESS and not foreign and len(set(inner)) > 1:
                 continue  # part of a sentence
             plain = pattern is ADDRESS and not any(inner) and not foreign
@@ -261,7 +281,7 @@ def candidates(text: str) -> list[Candidate]:
         for m in HAUS.finditer(text):
             a, b = m.start(1), m.end(1)
             add(3, a, b, 1, _vote("市" in m[1]), _vote(a > m.start(), False), 0)
-        for pattern in (HAN_NAME, HAN_SHORT, HAN_ANY):
+        for pattern in (HAN_NAME, HAN_SHORT, HAN_ACTOR, HAN_ANY):
             for m in pattern.finditer(text):
                 a, b = m.span(m.lastgroup or 0)
                 cue = _HAN_LEFT.search(text[max(0, a - 4) : a]) or pattern is HAN_SHORT
@@ -270,6 +290,12 @@ def candidates(text: str) -> list[Candidate]:
                 if pattern is HAN_SHORT:
                     add(4, a, b, 1, 1, 1, 1)
                     continue
+                if pattern is HAN_ACTOR:
+                    add(4, a, b, 1, 0, _vote(cue), 1)
+                    continue
+                if pattern is HAN_NAME and _HAN_FUNCTION.search(text[a + 2 : b]):  # a compound surname's characters in ordinary words
+                    add(4, a, b, -1, -1, _vote(cue, not cue), -1)
+                    continue
                 add(4, a, b, _vote(cue and not re.match(r"[一-鿿]", text[b : b + 1])), _vote(pattern is HAN_NAME), _vote(cue), _vote(not re.match(r"[一-鿿]", text[b : b + 1])))
 
     for pattern in (NAME, INITIALS, REVERSED):
@@ -288,7 +314,7 @@ def candidates(text: str) -> list[Candidate]:
             shape = family[0].isupper() and (given is None or given[0].isupper())
             if pattern is NAME and known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
                 continue
-            if family.lower() in _NOT_FAMILY:
+            if family.lower() in _NOT_FAMILY or given and _ID_WORD.fullmatch(given.lower()):
                 continue
             unknown = pattern is not INITIALS and not known and not re.fullmatch(_INITIALS, given)
             if unknown and (given.lower() in _NOT_GIVEN or pattern is REVERSED and given.lower() in _NOT_FAMILY):
@@ -299,31 +325,63 @@ def candidates(text: str) -> list[Candidate]:
                 continue
             if pattern is NAME and not unknown:  # the next match may start after this name only
                 at = b
-            add(4, a, b, _vote(shape and not (unknown and not cue), not shape and not cue), _vote(known or pattern is INITIALS, unknown and not cue), _vote(cue), _vote(_NAME_RIGHT.match(after), _NAME_NOT.match(after) or re.search(r"\bThe\s+$", before)), _vote(linked))
+            usage = 0
+            if unknown and common is not None:
+                plain = [bool(common[slot(w.lower())]) for w in re.split(r"[\s\-'’]+", f"{given} {family}") if len(w) > 1]
+                usage = _vote(not any(plain), any(plain))
+            add(4, a, b, _vote(shape, not shape and not cue), _vote(known or pattern is INITIALS), _vote(cue), _vote(_NAME_RIGHT.match(after), _NAME_NOT.match(after) or re.search(r"\b(?:The|the|our|a|an)\s+$", before)), _vote(linked), usage)
     return out
 
 
 #: Words that open a sentence or end a file name, not a name.
 _NOT_GIVEN = frozenset("the a an this that these those there when then later since even for from in on at by to with most once under according as and or but if one some each it we they our their nobody after before between what where who why how which with der die das wir wenn nach es im update monday tuesday wednesday thursday friday saturday sunday january february april june july august september october november december frau herr herrn mr mrs ms miss dr prof ask".split())
-_NOT_FAMILY = _NOT_GIVEN | frozenset("said asked is was were are has had who which owns und oder von asked about she he".split())
+_NOT_FAMILY = _NOT_GIVEN | frozenset("said asked is was were are has had who which owns und oder von asked about she he nr no".split())
 _CODE_ENDS = frozenset("py js ts json yml yaml md txt cfg ini toml lock sh".split())
 
 
+def slot(word: str) -> int:
+    """The counter of a word, as ``pmod(xxhash64(word), SLOTS)`` has it."""
+    return xxhash.xxh64_intdigest(word, 42) % SLOTS
+
+
+def common_words(items: DataFrame) -> np.ndarray:
+    """Which slots hold words that the texts use in lower case, from counts over all of them.
+
+    Partial counts by slot; at most ``SLOTS`` of them reach the driver. A slot is common from ``COMMON``
+    uses, and four times the average, on.
+    """
+    found = items.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_.@/-])(\p{Ll}{2,})(?![\p{L}\p{N}_@])"), 1)).alias("w"))
+    counts = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts["slot"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
+    return out >= max(COMMON, 4 * out.sum() / SLOTS)
+
+
 def features(text: str, c: Candidate) -> list[int]:
-    """Hashed features of a candidate: votes, neighbouring words and shapes, by type."""
+    """The number of a candidate's votes, then its hashed features that no labeler sees: neighbouring
+    words, shapes, and pieces of its words, by type."""
     left = re.findall(r"\w+|[^\w\s]", text[max(0, c.start - 24) : c.start].lower())[-2:]
     right = re.findall(r"\w+|[^\w\s]", text[c.end : c.end + 16].lower())[:1]
     shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"\d", "9", text[c.start : c.end]))))[:24]
-    names = [f"{n}={v}" for n, v in zip(LABELERS, c.votes)] + [f"{LABELERS[i]}{v}&{LABELERS[j]}{w}" for i, v in enumerate(c.votes) for j, w in enumerate(c.votes[:i])]
-    names += [f"l={w}" for w in left[-1:]] + [f"ll={' '.join(left)}"] + [f"r={w}" for w in right] + [f"s={shape}", "bias"]
-    return [xxhash.xxh32_intdigest(f"{c.type}|{n}") % FEATURES for n in names]
+    names = [f"l={w}" for w in left[-1:]] + [f"ll={' '.join(left)}"] + [f"r={w}" for w in right] + [f"s={shape}", "bias"]
+    names += [f"rr={' '.join(re.findall(r'[^\W_]+|[^\w\s]', text[c.end : c.end + 24].lower())[:2])}"]
+    if c.type == 4:
+        words = re.findall(r"[^\W\d_]+", text[c.start : c.end].lower())
+        names += [f"e={w[-3:]}" for w in words] + [f"b={w[:2]}" for w in words[:1]] + [f"n={len(words)}"]
+    return [_pattern(c.type, c.votes)] + [xxhash.xxh32_intdigest(f"{c.type}|{n}") % FEATURES for n in names]
 
 
-def aggregate_votes(counts: dict[tuple[int, ...], float], rounds: int = 60) -> dict[tuple[int, ...], float]:
+def _pattern(kind: int, votes: tuple[int, ...]) -> int:
+    """Type and votes as one number."""
+    return kind * 3 ** len(LABELERS) + sum((v + 1) * 3**i for i, v in enumerate(votes))
+
+
+def aggregate_votes(counts: dict[tuple[int, ...], float], rounds: int = 60, silent: tuple[int, ...] = ()) -> dict[tuple[int, ...], float]:
     """Probability that a candidate with each pattern of votes is true, by expectation-maximisation.
 
     Two classes; each labeler votes -1, 0 or 1 with class-wise rates. Rates start from, and are pulled
-    towards, a labeler that is right three times in four, so the classes can't swap.
+    towards, a labeler that is right three times in four, so the classes can't swap. An abstention tells
+    something too, but for the ``silent`` labelers: not to be in a list of names means nothing.
     """
     patterns = np.array(list(counts), dtype=int) + 1
     n = np.array(list(counts.values()), dtype=float)
@@ -332,7 +390,9 @@ def aggregate_votes(counts: dict[tuple[int, ...], float], rounds: int = 60) -> d
     rates, share = np.repeat(prior[:, None], k, axis=1), 0.7
     strength = 0.02 * n.sum() + 5
     for _ in range(rounds):
-        like = np.log(np.array([1 - share, share]))[:, None] + sum(np.log(rates[:, j])[:, patterns[:, j]] for j in range(k))
+        weight = np.log(rates)
+        weight[:, list(silent), 1] = 0.0
+        like = np.log(np.array([1 - share, share]))[:, None] + sum(weight[:, j][:, patterns[:, j]] for j in range(k))
         p = 1 / (1 + np.exp(np.clip(like[0] - like[1], -60, 60)))
         for y, w in ((0, n * (1 - p)), (1, n * p)):
             for j in range(k):
@@ -358,8 +418,41 @@ class SpanClassifier:
             past += grad**2
             self.weights -= rate * grad / np.sqrt(past)
 
+    def logit(self, row: list[int]) -> float:
+        return float(np.clip(self.weights[row].sum(), -40, 40))
+
     def probability(self, row: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[row].sum(), -40, 40))))
+        return _sigmoid(self.logit(row))
+
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-x))
+
+
+class SpanModel:
+    """Both views of a candidate: what the votes say (the estimates of expectation-maximisation, kept
+    within ``trust`` either way) and what the classifier makes of words and shapes around and in it.
+
+    ``view`` weighs the classifier against the votes.
+    """
+
+    def __init__(self, truth: dict[int, float], classifier: SpanClassifier, common: np.ndarray | None, trust: float = 4.0, view: float = 0.5):
+        self.truth, self.classifier, self.common, self.trust, self.view = truth, classifier, common, trust, view
+
+    def voted(self, pattern: int) -> float:
+        """The probability by the votes alone; of a pattern that was never met, by their balance."""
+        if pattern in self.truth:
+            return self.truth[pattern]
+        return _sigmoid(1.5 * sum(pattern // 3**i % 3 - 1 for i in range(len(LABELERS))))
+
+    def probability(self, row: list[int]) -> float:
+        p = min(max(self.voted(int(row[0])), 1e-9), 1 - 1e-9)
+        votes = min(max(math.log(p / (1 - p)), -self.trust), self.trust)
+        return _sigmoid(votes + self.view * self.classifier.logit(row[1:]))
+
+    def find(self, text: str) -> list[tuple[Candidate, float]]:
+        own = candidates(text, self.common)
+        return choose(own, [self.probability(features(text, c)) for c in own])
 
 
 def choose(found: list[Candidate], p: list[float], least: float = 0.5) -> list[tuple[Candidate, float]]:
@@ -375,14 +468,15 @@ CANDIDATES = "id string, type array<int>, start array<int>, end array<int>, vote
 FOUND = "id string, pii_type string, start_pos bigint, end_pos bigint, probability double"
 
 
-def _candidate_table(items: DataFrame) -> DataFrame:
+def _candidate_table(items: DataFrame, common: np.ndarray | None = None) -> DataFrame:
     """One row for each text with candidates, so that overlaps are settled without any grouping."""
+    shared = items.sparkSession.sparkContext.broadcast(common)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"], batch["text"]):
-                if own := candidates(text):
+                if own := candidates(text, shared.value):
                     votes = [",".join(map(str, c.votes)) for c in own]
                     rows.append((i, [c.type for c in own], [c.start for c in own], [c.end for c in own], votes, [features(text, c) for c in own]))
             yield pd.DataFrame(rows, columns=["id", "type", "start", "end", "votes", "features"])
@@ -390,25 +484,27 @@ def _candidate_table(items: DataFrame) -> DataFrame:
     return spread(items.select(F.col("id").cast("string"), "text").where("text is not null")).mapInPandas(scan, CANDIDATES)
 
 
-def train(found: DataFrame, seed: int = 11) -> SpanClassifier:
-    """The classifier for a table of candidates: votes of all of them, features of a bounded sample."""
+def train(found: DataFrame, common: np.ndarray | None = None, seed: int = 11) -> SpanModel:
+    """The model for a table of candidates: votes of all of them, features of a bounded sample."""
     each = found.select("id", F.explode(F.arrays_zip("type", "votes", "features", "start")).alias("c")).select("id", "c.*")
     counts = each.groupBy("type", "votes").agg(F.count("*").alias("n")).collect()
-    truth: dict[tuple[int, str], float] = {}
+    truth: dict[int, float] = {}
     for kind in range(len(TYPES)):
         own = {tuple(map(int, r.votes.split(","))): float(r.n) for r in counts if r.type == kind}
         if own:
-            truth |= {(kind, ",".join(map(str, v))): p for v, p in aggregate_votes(own).items()}
+            silent = SILENT if TYPES[kind] == "name" and common is not None else ()  # without usage, silence is all there is
+            truth |= {_pattern(kind, v): p for v, p in aggregate_votes(own, silent=silent).items()}
     share = min(1.0, 0.9 * TRAIN_ROWS / max(1, sum(r.n for r in counts)))
     draw = F.pmod(F.xxhash64("id", "start", "type", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = each.where(draw).limit(TRAIN_ROWS).select("type", "votes", "features").collect()
-    return SpanClassifier([r.features for r in sample], np.array([truth[r.type, r.votes] for r in sample]))
+    sample = each.where(draw).limit(TRAIN_ROWS).select("features").collect()
+    return SpanModel(truth, SpanClassifier([r.features[1:] for r in sample], np.array([truth[r.features[0]] for r in sample])), common)
 
 
 def find_personal(items: DataFrame) -> DataFrame:
     """``(id, pii_type, start_pos, end_pos, probability)`` of every piece found."""
-    found = materialize(_candidate_table(items), "pii-candidates")
-    shared = items.sparkSession.sparkContext.broadcast(train(found))
+    common = common_words(items)
+    found = materialize(_candidate_table(items, common), "pii-candidates")
+    shared = items.sparkSession.sparkContext.broadcast(train(found, common))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -422,12 +518,16 @@ def find_personal(items: DataFrame) -> DataFrame:
     return found.where("id is not null").mapInPandas(score, FOUND).distinct()
 
 
-def redact(items: DataFrame, model: SpanClassifier | None = None) -> DataFrame:
+def redact(items: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """``items`` with ``text`` replaced by the text with placeholders, all other columns kept.
 
-    Without a ``model`` one is trained on the table's own candidates.
+    Without a ``model`` one is trained on the table's own candidates, which are written once for that.
     """
-    shared = items.sparkSession.sparkContext.broadcast(model or train(_candidate_table(items)))
+    if model is None:
+        common = common_words(items)
+        rows = items if "id" in items.columns else items.withColumn("id", F.xxhash64("text").cast("string"))
+        model = train(materialize(_candidate_table(rows, common), "pii-candidates"), common)
+    shared = items.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -435,8 +535,7 @@ def redact(items: DataFrame, model: SpanClassifier | None = None) -> DataFrame:
             out = []
             for text in batch:
                 if text:
-                    own = candidates(text)
-                    for c, _ in reversed(choose(own, [shared.value.probability(features(text, c)) for c in own])):
+                    for c, _ in reversed(shared.value.find(text)):
                         text = text[: c.start] + PLACEHOLDERS[TYPES[c.type]] + text[c.end :]
                 out.append(text)
             yield pd.Series(out, dtype=object)

@@ -125,3 +125,46 @@ def test_unknown_capitalised_names_are_put_to_the_vote(model):
 @pytest.mark.parametrize("text", ["Reisepass 123456789", "ID number 12 345 678 901", "ni number 123456789", "id card 123456789", "identity 123456789"])
 def test_every_cue_of_an_identifier_reaches_its_patterns(text):
     assert any(c.type == 2 for c in P.candidates(text))
+
+
+@pytest.fixture(scope="module")
+def informed(spark, sf):
+    """A model that also knows which words the corpus has in lower case."""
+    items = spark.read.parquet(sf.replace("0.001", "0.01") + "/memory_item.parquet")
+    common = P.common_words(items)
+    return P.train(P._candidate_table(items, common), common)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("Please thank Ngozi Okafor and Priyanka Raghunathan", "name", "Ngozi Okafor"),
+        ("Please thank Ngozi Okafor and Priyanka Raghunathan", "name", "Priyanka Raghunathan"),
+        ("Svetlana Kuznetsova reviewed the index code", "name", "Svetlana Kuznetsova"),
+        ("We met Zorvan Quillby yesterday at the office", "name", "Zorvan Quillby"),
+        ("王伟昨天提交了补丁", "name", "王伟"),
+        ("张小明说接口有问题", "name", "张小明"),
+        ("I live at Avenida Paulista 1578, come by", "address", "Avenida Paulista 1578"),
+        ("see 12 Rue de Rivoli, Paris", "address", "12 Rue de Rivoli"),
+    ],
+)
+def test_texts_unlike_the_tables(informed, text, kind, value):
+    assert (kind, value) in [(P.TYPES[c.type], text[c.start : c.end]) for c, _ in informed.find(text)]
+
+
+@pytest.mark.parametrize("text", ["第五章讲的是缓存", "东方的服务器", "百里之外的机房", "周一提交补丁", "马上说明", "The Memory Store keeps rows", "Redis Cluster was slow", "The Ethtor Vorcal release adds a retry", "routed via 12 hops"])
+def test_ordinary_words_are_no_names(informed, text):
+    assert informed.find(text) == []
+
+
+def test_the_classifier_sees_no_votes_and_silence_of_a_list_means_nothing():
+    c = P.Candidate(4, 4, 16, (1, 0, 1, 0, 0, 0, 1))
+    a, b = P.features("cc: Ngozi Okafor.", c), P.features("cc: Ngozi Okafor.", c._replace(votes=(-1,) * 7))
+    assert a[0] != b[0] and a[1:] == b[1:]
+    counts = {(1, 1, 1): 500.0, (1, 0, 1): 5.0, (-1, 0, -1): 500.0}
+    assert P.aggregate_votes(counts, silent=(1,))[1, 0, 1] > 0.9
+
+
+def test_slots_are_those_of_the_built_in_hash(spark):
+    row = spark.createDataFrame([("naïve",)], "w string").select(F.pmod(F.xxhash64("w"), F.lit(P.SLOTS)).alias("s")).first()
+    assert row.s == P.slot("naïve")
