@@ -101,3 +101,26 @@ def test_order_of_arrival_of_the_same_lines_is_irrelevant(spark, seed):
     mixed = rows[:]
     rng.shuffle(mixed)
     assert state(apply_changes(spark.createDataFrame(rows, SCHEMA).orderBy(F.rand(1)))) == expected(mixed)
+
+
+def test_runs_number_themselves_compact_and_leave_replaced_files_to_readers(spark):
+    rows = feed(random.Random(3), 90)
+    path = scratch_path(spark, "t")
+    table = ChangeTable(spark, path, fan_in=4)
+    for i in range(0, len(rows), 12):
+        table.append(normalise_changes(spark.createDataFrame(rows[i : i + 12], SCHEMA)))
+        begun = table.read()
+        table.compact()
+        assert len(table.runs()) <= 4
+        assert state(begun) == state(table.read()) == expected(rows[: i + 12])
+    assert any("run=-" in r for r in table.runs())
+    # another object over the same folder, and files of an append that never was committed
+    again = ChangeTable(spark, path)
+    again._write(again.merged().limit(1).withColumn("key", F.lit("ghost")).withColumn("run", F.lit(999).cast("bigint")))
+    assert state(again.read()) == expected(rows)
+    assert again.buckets == table.buckets
+
+
+def test_a_read_moves_nothing_between_tasks(spark):
+    table = ChangeTable(spark).append(normalise_changes(spark.createDataFrame(feed(random.Random(5), 60), SCHEMA)))
+    assert "Exchange" not in table.read()._jdf.queryExecution().executedPlan().toString()
