@@ -10,14 +10,18 @@ pigeonhole over a partition of the universe of words:
   *one-deletion neighbourhood* (tolerates one: two units).
 * The larger set of a pair probes the bands of its possible partners and chooses, segment by segment,
   whether to skip it, to look the subset up, or to look up its neighbourhood too, so that the units
-  suffice at least cost. Costs are counts of signatures over all records, in a sketch of fixed size.
+  suffice at least cost. Costs are counts of signatures over all records, in a sketch.
+* A probe whose signature nobody has but itself is dropped at once, by the same counts; an index
+  signature that nobody probes is dropped by a bitmap of the probes that are left.
 * Candidates are thinned by a bound on the difference from 128-bit parity signatures, made distinct,
   and verified exactly on the word sets.
 
-Scale. One shuffle of signatures (16 bytes and 24 of payload each, no texts or sets), one of the few
-candidates, none of pairs within a class before the result is spelled out. The only broadcast is the
-sketch (``SLOTS`` counters). Frequent signatures are avoided by cost, and what remains of a hot key is
-split by the adaptive join; no list is capped.
+Scale. One shuffle of the signatures that may meet (16 bytes and 24 of payload each, no texts or sets),
+one of the few candidates, none of pairs within a class before the result is spelled out. Sketch and
+bitmap are the only broadcasts. Their size follows the number of signatures up to ``MOST_SLOTS`` bytes
+each (64 MB); beyond some 300,000 classes they fill up, drop fewer signatures and tell costs less
+well, which costs shuffle and never a link. Frequent signatures are avoided by cost, and what remains of
+a hot key is split by the adaptive join; no list is capped.
 
 Edge cases. A null text or tag has no words, a null array no tags; rows without id take no part, rows
 of one id are one record with all their words. Sets of fewer than ``min_words`` words are left out.
@@ -26,7 +30,7 @@ Very long texts are used whole. An empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +42,13 @@ from pyspark.sql import functions as F
 from mnesis.llm.words import words
 from mnesis.workspace import materialize, spread
 
-#: Counters of the sketch of signature counts.
-SLOTS = 1 << 20
+#: Counters of the sketch of signature counts, and bytes of the bitmap of probes: at least, and at most.
+SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
+#: The counters are kept as rounded logarithms, so many steps for each doubling.
+STEPS = 8
+COUNTS = np.exp2(np.arange(256) / STEPS) - 1
+#: Pieces in which a sketch or bitmap travels.
+PARTS = 256
 #: A band's largest size over its smallest; segments beyond the least that suffice.
 BAND_WIDTH, SPARE = 1.2, 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -113,8 +122,9 @@ def index_signatures(sets: list, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([s.subset, s.sign(s.less, s.salt[s.slot], 1)]), np.concatenate([s.owner, s.row])
 
 
-def probe_signatures(sets: list, bands: Bands, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) that find every similar set that is not larger, at least cost."""
+def probe_signatures(sets: list, bands: Bands, counts: np.ndarray, drop: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) that find every similar set that is not larger, at least cost; with ``drop``,
+    without those that meet nothing, where ``counts`` has all index signatures."""
     flat, sizes = _flat(sets)
     low, high, m = bands.edges(int(sizes.max(initial=0)))
     first = np.searchsorted(high, np.ceil(bands.t * sizes - 1e-9), side="left")
@@ -130,8 +140,11 @@ def probe_signatures(sets: list, bands: Bands, counts: np.ndarray) -> tuple[np.n
     shorter = s.sign(s.less, s.salt[s.slot], 0)
     wider = s.sign(s.sums, s.salt, 1)
 
+    def code(signature: np.ndarray) -> np.ndarray:
+        return counts[(signature % np.uint64(len(counts))).astype(np.int64)]
+
     def cost(signature: np.ndarray) -> np.ndarray:
-        return counts[(signature % np.uint64(SLOTS)).astype(np.int64)].astype(np.float64)
+        return COUNTS[code(signature)]
 
     one = cost(s.subset)
     two = one + cost(wider) + np.bincount(s.slot, cost(shorter), len(one))
@@ -145,12 +158,56 @@ def probe_signatures(sets: list, bands: Bands, counts: np.ndarray) -> tuple[np.n
     units = np.bincount(slot[bought], minlength=len(one))
     units[joint & (units == 1)] = 2
     short = units[s.slot] == 2
+    subset, wide, some = units >= 1, units == 2, short
+    if drop:  # what nobody has; in its own band, a set meets its own subsets
+        own = band == np.repeat(last, spread)
+        subset = subset & (code(s.subset) > np.where(own[s.owner], STEPS, 0))
+        wide, some = wide & (code(wider) > 0), some & (code(shorter) > 0)
     return (
-        np.concatenate([s.subset[units >= 1], wider[units == 2], shorter[short]]),
-        row[np.concatenate([s.owner[units >= 1], s.owner[units == 2], s.row[short]])],
+        np.concatenate([s.subset[subset], wider[wide], shorter[some]]),
+        row[np.concatenate([s.owner[subset], s.owner[wide], s.row[some]])],
     )
 
 
+def gather(rows: DataFrame, width: int, add: Callable, combine: Callable, finish: Callable) -> np.ndarray:
+    """An array of ``width`` bytes over all rows: each task makes its own by ``add(array, batch)``, pieces
+    are combined by place in parallel, and the whole comes to the driver."""
+    import zstandard
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(width, np.uint8)
+        for batch in batches:
+            add(total, batch)
+        pack = zstandard.ZstdCompressor(1)
+        yield pd.DataFrame({"part": range(PARTS), "piece": [pack.compress(x.tobytes()) for x in np.split(total, PARTS)]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(1)
+        for batch in batches:
+            for part, piece in zip(batch["part"], batch["piece"]):
+                held[part] = combine(held.get(part, 0), np.frombuffer(unpack.decompress(piece), np.uint8))
+        yield pd.DataFrame({"part": list(held), "piece": [pack.compress(finish(x).tobytes()) for x in held.values()]}).astype({"part": "int32"})
+
+    form = "part int, piece binary"
+    out, unpack = np.zeros(width, np.uint8), zstandard.ZstdDecompressor()
+    for r in rows.mapInPandas(local, form).repartition("part").mapInPandas(merge, form).collect():
+        size = width // PARTS
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(unpack.decompress(r.piece), np.uint8)
+    return out
+
+
+def slots(signatures: int) -> int:
+    """Four slots a signature, as a power of two within the limits."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << (max(1, 4 * signatures) - 1).bit_length()))
+
+
+def marked(bits: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Which signatures are in a bitmap."""
+    at = (sig >> np.uint64(20)) % np.uint64(8 * len(bits))
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def parity(sets: list) -> tuple[np.ndarray, np.ndarray]:
     """128 parity bits of each set; two sets differ in at least as many words as bits."""
     flat, sizes = _flat(sets)
@@ -208,29 +265,32 @@ class NearDuplicates:
         self._links: DataFrame | None = None
 
     def _counts(self) -> np.ndarray:
-        """Counts of all index signatures, by slot of the sketch."""
-        bands, parts = self.bands, 64
+        """Counts of all index signatures, by slot of the sketch, as logarithms."""
+        bands = self.bands
+        total = self.classes.agg(F.sum(F.size("words")), F.count("*")).first()
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(SLOTS, np.int64)
-            for batch in batches:
-                sig, _ = index_signatures(list(batch["words"]), bands)
-                total += np.bincount((sig % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-            yield pd.DataFrame({"part": range(parts), "counts": [x.astype(np.uint32).tobytes() for x in np.split(total, parts)]})
-
-        def add(part: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in part["counts"])
-            return pd.DataFrame({"part": part["part"][:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.uint32).tobytes()]})
-
-        form = "part int, counts binary"
-        rows = self.classes.select("words").mapInPandas(count, form).groupBy("part").applyInPandas(add, form).collect()
-        out = np.zeros(SLOTS, np.uint32)
-        for r in rows:
-            out[r.part * (SLOTS // parts) : (r.part + 1) * (SLOTS // parts)] = np.frombuffer(r.counts, np.uint32)
-        return out
-
-    def _signed(self, counts=None) -> DataFrame:
-        """Signatures of all classes: of the index, or with ``counts`` of the probes."""
+        def add(counts: np.ndarray, batch: pd.DataFrame) -> None:
+            sig, _ = index_signatures(list(batch["words"]), bands)
+            at, n = np.unique((sig % np.uint64(len(counts))).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
+
+        def finish(n: np.ndarray) -> np.ndarray:
+            return np.minimum(np.rint(STEPS * np.log2(1 + n)), 255).astype(np.uint8)
+
+        # a set has a signature for each word and each segment
+        return gather(self.classes.select("words"), slots((total[0] or 0) * 5 // 4), add, lambda a, x: a + x.astype(np.uint32), finish)
+
+    def _probed(self, probes: DataFrame) -> np.ndarray:
+        """A bitmap of the signatures that are probed."""
+
+        def add(bits: np.ndarray, batch: pd.DataFrame) -> None:
+            at = (batch["sig"].to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(8 * len(bits))
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+        return gather(probes.select("sig"), slots(2 * probes.count()), add, lambda a, x: a | x, lambda x: x)
+
+    def _signed(self, counts=None, probed=None) -> DataFrame:
+        """Signatures of all classes: with ``counts`` of the probes, else those of the index that are ``probed``."""
         bands = self.bands
 
         def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +298,12 @@ class NearDuplicates:
                 for at in range(0, len(batch), 2000):
                     some = batch.iloc[at : at + 2000]
                     sets = list(some["words"])
-                    sig, row = index_signatures(sets, bands) if counts is None else probe_signatures(sets, bands, counts.value)
+                    if counts is not None:
+                        sig, row = probe_signatures(sets, bands, counts.value, drop=True)
+                    else:
+                        sig, row = index_signatures(sets, bands)
+                        met = marked(probed.value, sig)
+                        sig, row = sig[met], row[met]
                     low, high = parity(sets)
                     size = np.fromiter(map(len, sets), np.int32, len(sets))
                     yield pd.DataFrame({"sig": sig.view(np.int64), "class": some["class"].to_numpy()[row], "n": size[row], "low": low[row], "high": high[row]})
@@ -249,8 +314,9 @@ class NearDuplicates:
         """``(a, b, similarity)``: all pairs of different classes at the threshold, once."""
         if self._links is not None:
             return self._links
-        counts = self.classes.sparkSession.sparkContext.broadcast(self._counts())
-        r, s = self._signed(counts).alias("r"), self._signed().alias("s")
+        context = self.classes.sparkSession.sparkContext
+        probes = materialize(self._signed(context.broadcast(self._counts())), "probes")
+        r, s = probes.alias("r"), self._signed(probed=context.broadcast(self._probed(probes))).alias("s")
 
         def column(name: str) -> tuple[Column, Column]:
             return F.col(f"r.{name}"), F.col(f"s.{name}")
