@@ -19,10 +19,11 @@ doc_ids give a row each in the statistics and one in the forms. Other columns ar
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,9 +75,6 @@ _WIDE = re.compile(r"[０-９Ａ-Ｚａ-ｚ]")
 _NARROW = {c: c - 0xFEE0 for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
 _HEX_PAIRS = frozenset(f"{i:02x}" for i in range(256))
 _MARKED = re.compile(r"^[ \t]*(?:[^\w\s]|\(?\w{1,3}[.)、])[ \t]", re.M)
-_DIGIT_WORD = re.compile(r"[^\W\d_]+\d\w*|\d+[^\W\d_]\w*")
-_CAPITAL = re.compile(r"\b[A-ZÄÖÜ][a-zäöüß]+")
-_VOWEL = re.compile(r"[aeiouyäöüéè]")
 _VOWELLESS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 
 STATISTICS = (
@@ -85,7 +83,7 @@ STATISTICS = (
     "long_tokens words_per_sentence commas_per_word prose_share list_share table_share junk_share bullet_share short_share "
     "loose_share common_in_text distinct_lines bars_per_line tabs_per_line gaps_per_line equals_per_word colons_per_word "
     "tags_per_line brackets_per_word slashes_per_word marked_lines short_lines long_lines line_spread compressed vowels "
-    "words_with_digits capitalised stops_per_word cjk_stops cjk_pauses common_spread plain_lines"
+    "stops_per_word cjk_stops cjk_pauses common_spread plain_lines"
 ).split()
 #: What the weak labels are made of. The trees don't see it, so they have to tell the forms by other signs.
 LABEL_PARTS = frozenset("prose_share list_share table_share junk_share bullet_share short_share loose_share common_in_text".split())
@@ -169,6 +167,9 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
     run: list[tuple[str, list[str]]] = []  # short lines in a row, whose form their common words decide
     loose_list = loose = bullets = ended = count_lines = 0
     lower: list[str] = []
+    hits: list[bool] = []  # which of the words are common
+    line_sizes: list[int] = []
+    plain_lines = 0
     distinct: set[str] = set()
 
     def close_run() -> None:
@@ -199,7 +200,11 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
         distinct.add(s)
         ws = _WORD.findall(s.lower())
         lower += ws
+        known = list(map(COMMON_WORDS.__contains__, ws))
+        hits += known
+        plain_lines += sum(known) >= 0.2 * len(ws) > 0
         size = len(s)
+        line_sizes.append(size)
         cjk = 0 if ascii_ else len(_CJK.findall(s))
         form = _line_form(line, s, ws, cjk)
         if form == "short":
@@ -242,7 +247,7 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
         len(_UPPER.findall(text)) / count,
         spaces / chars,
         ended / max(1, count_lines),
-        _common(lower),
+        sum(hits) / count,
         len(set(lower)) / count,
         len(times) / max(1, len(sentences)),
         repeated,
@@ -261,7 +266,7 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
         _common(said_words),
         len(distinct) / max(1, count_lines),
     ]
-    values += _surface(text, lower, count, chars, count_lines, alnum)
+    values += _surface(text, hits, plain_lines, line_sizes, count, chars, alnum)
     top = int(np.argmax(parts[1:])) + 1
     # weak votes: only of clear shares
     if parts[0] > 0.5:
@@ -269,40 +274,46 @@ def statistics(text: str | None) -> tuple[list[float], int] | None:
     return values, top if parts[top] > 0.45 else -1
 
 
-def _surface(text: str, lower: list[str], count: int, chars: int, lines: int, alnum: int) -> list[float]:
+def _surface(text: str, hits: list[bool], plain: int, line_sizes: list[int], count: int, chars: int, alnum: int) -> list[float]:
     """Counts of marks, lines and characters that no label is made of."""
-    lines = max(1, lines)
-    sizes = np.array([len(s) for line in text.splitlines() if (s := line.strip())] or [0])
+    lines = max(1, len(line_sizes))
+    total, n = max(1, sum(line_sizes)), lines
+    mean = total / n
     raw = text.encode("utf-8", "replace")
     # common words in tenths of the text: prose has them throughout
-    step = max(1, -(-len(lower) // 10))
-    tenths = [_common(lower[i : i + step]) for i in range(0, len(lower), step)]
-    plain = sum(_common(_WORD.findall(line)) >= 0.2 for line in text.lower().splitlines())
+    step = max(1, -(-len(hits) // 10))
+    tenths = [sum(hits[i : i + step]) / len(hits[i : i + step]) for i in range(0, len(hits), step)]
+    many = text.count
     return [
-        text.count("|") / lines,
-        text.count("\t") / lines,
-        text.count("  ") / lines,
-        text.count("=") / count,
-        (text.count(":") + text.count("：")) / count,
-        text.count("<") / lines,
-        sum(map(text.count, "()[]{}")) / count,
-        (text.count("/") + text.count("\\")) / count,
+        many("|") / lines,
+        many("\t") / lines,
+        many("  ") / lines,
+        many("=") / count,
+        (many(":") + many("：")) / count,
+        many("<") / lines,
+        sum(map(many, "()[]{}")) / count,
+        (many("/") + many("\\")) / count,
         len(_MARKED.findall(text)) / lines,
-        float(sizes[sizes <= 30].sum()) / max(1, int(sizes.sum())),
-        float(sizes[sizes >= 80].sum()) / max(1, int(sizes.sum())),
-        float(sizes.std() / max(1.0, sizes.mean())),
-        len(zlib.compress(raw, 1)) / len(raw),
-        len(_VOWEL.findall(text.lower())) / max(1, alnum),
-        len(_DIGIT_WORD.findall(text)) / count,
-        len(_CAPITAL.findall(text)) / count,
-        (text.count(". ") + text.count(".\n") + text.count("? ") + text.count("! ")) / count,
-        sum(map(text.count, "。！？")) / chars,
-        sum(map(text.count, "，、；")) / chars,
+        sum(x for x in line_sizes if x <= 30) / total,
+        sum(x for x in line_sizes if x >= 80) / total,
+        math.sqrt(sum((x - mean) ** 2 for x in line_sizes) / n) / max(1.0, mean),
+        len(_compressor().compress(raw)) / len(raw),
+        sum(map(many, "aeiouyäöüéè")) / max(1, alnum),
+        (many(". ") + many(".\n") + many("? ") + many("! ")) / count,
+        sum(map(many, "。！？")) / chars,
+        sum(map(many, "，、；")) / chars,
         min(tenths, default=0.0),
         plain / lines,
     ]
 
 
+@lru_cache(maxsize=1)
+def _compressor():
+    import zstandard
+
+    return zstandard.ZstdCompressor(1)
+
+
 def document_statistics(documents: DataFrame) -> DataFrame:
     """``(doc_id, <statistics>, weak)`` of every document, null where the text is null or blank."""
 
