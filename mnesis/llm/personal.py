@@ -138,6 +138,10 @@ HAUS = re.compile(r"(?:住在|寄到|送到|住址是?|地址是?|位于|搬到|
 _CAP = r"[A-ZÀ-Þ][^\W\d_]+(?:['’\-][A-ZÀ-Þ]?[^\W\d_]+)*"
 _INITIALS = r"(?:[A-ZÀ-Þ]\.[ ]?){1,3}"
 NAME = re.compile(rf"(?<![\w.@/\-])(?P<given>[^\W\d_]{{2,}}(?:-[^\W\d_]{{2,}})*)\s+(?:{_INITIALS}\s*)?(?P<family>[^\W\d_][^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@/]|[._\-]\w|\s?[＠@])")
+#: The same where both words are capitalised, for texts without a given name of the list.
+_UPPER = "[A-ZÀ-ÖØ-ÞĀ-žА-ЯЁΑ-Ω]"
+NAME_CAPS = re.compile(rf"(?<![\w.@/\-])(?P<given>{_UPPER}[^\W\d_]+(?:-[^\W\d_]{{2,}})*)\s+(?:{_INITIALS}\s*)?(?P<family>{_UPPER}[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@/]|[._\-]\w|\s?[＠@])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 INITIALS = re.compile(rf"(?<![\w.@/\-]){_INITIALS}\s*(?P<family>{_CAP})(?![\w@/]|[._]\w)")
 REVERSED = re.compile(rf"(?<![\w.@/\-])(?P<family>{_CAP}),\s?(?P<given>(?:{_CAP}|{_INITIALS}))(?![\w@/]|[_\-]\w|\.\w{{2,}})")
 HAN_NAME = re.compile(rf"(?:{'|'.join(COMPOUND_SURNAMES)})[一-鿿]{{1,2}}")
@@ -150,7 +154,10 @@ HAN_ACTOR = re.compile(rf"(?:(?<![一-鿿])|(?<=[由和跟与请让给找]))(?P<
 _HAN_FUNCTION = re.compile(f"[{_HAN_PLAIN}]")
 HAN_ANY = re.compile(r"(?<=联系人是|负责人：|负责人:|负责人是|联系人：)[一-鿿]{2,4}(?![一-鿿])|(?<=请找)[一-鿿]{2,4}(?![一-鿿])")
 
-_AT_SIGN = re.compile(r"[@＠﹫]|\b(?:at|AT|At)\b|_at_")
+#: What an address that counts has: a sign, a bracketed or capital "at", or a spelled-out dot.
+_AT_SIGN = re.compile(r"[@＠﹫]|[\[({<]\s*(?:at|AT|At)\s*[\])}>]|\bAT\b|_at_|\b(?:dot|DOT|Dot)\b")
+_DIGIT = re.compile(r"\d")
+_HAN_CUED = re.compile("先生|女士|小姐|博士|联系人|负责人|收件人|经办人|审核人|请找|姓名|作者|我叫|名叫")
 #: What announces an identifier; a text without any of these holds no cued one.
 _ID_CUE = r"ssn|social|tin|tax\w*|insurance|nino|ni number|national\w*|passport|passnummer|reisepass|document|ausweis\w*|personalausweis|identity|identity card|id card|id number|steuer\w*|sozialversicherung\w*|identification|身份证\w*|护照\w*|证件\w*|税号"
 _ID_WORD = re.compile(_ID_CUE)
@@ -220,7 +227,8 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
         return all(end <= a or b <= start for a, b in taken)
 
     ids: list[tuple[int, int, int, int]] = []  # start, end, strictness, validity
-    if any(map(str.isdigit, text)):
+    numbers = bool(_DIGIT.search(text))
+    if numbers:
         for m in CITIZEN.finditer(text):
             ids.append((m.start(), m.end(), 1, _vote(_valid_citizen(m[0]), not _valid_citizen(m[0]))))
         ids += [(m.start(), m.end(), 1, 1) for m in SSN.finditer(text)]
@@ -260,7 +268,7 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
             id_cue = _ID_LEFT.search(before) and not cue
             add(1, a, b, _vote(plan and not bare, not plan), _vote(known or re.search(r"555[ .\-]?01\d\d$", s) or (cue and _PLANS[3].match(s))), _vote(cue, not_cue or id_cue), _vote(re.match(r"\s*(?:ext|x|durchwahl|分机)\b", after, re.I), _AFTER_NOT.match(after)))
 
-    for pattern in (ADDRESS, BOX, STRASSE, AVENIDA):
+    for pattern in (ADDRESS, BOX, STRASSE, AVENIDA) if numbers else ():
         for m in pattern.finditer(text):
             a, b = m.start(), m.end()
             if not free(a, b):
@@ -278,10 +286,10 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
                 continue
             add(3, a, b, _vote(not plain), _vote(pattern is not ADDRESS or re.match(r"[^\n]*?(?:,\s*[A-ZÀ-Þ]|,\s*(?:unit|apt)|\s+\d{5}|\.?$|\.\s)", text[b : b + 30])), _vote(cue), _vote(re.match(r"\s*,\s*(?:\d{4,6}\s+)?[A-ZÀ-Þ]", text[b : b + 12]), re.match(r"\s+(?:bridge|module)\b", text[b : b + 10], re.I)))
     if not text.isascii():
-        for m in HAUS.finditer(text):
+        for m in HAUS.finditer(text) if "号" in text else ():
             a, b = m.start(1), m.end(1)
             add(3, a, b, 1, _vote("市" in m[1]), _vote(a > m.start(), False), 0)
-        for pattern in (HAN_NAME, HAN_SHORT, HAN_ACTOR, HAN_ANY):
+        for pattern in (HAN_NAME, HAN_SHORT, HAN_ACTOR, HAN_ANY) if _HAN_CUED.search(text) else (HAN_NAME, HAN_ACTOR):
             for m in pattern.finditer(text):
                 a, b = m.span(m.lastgroup or 0)
                 cue = _HAN_LEFT.search(text[max(0, a - 4) : a]) or pattern is HAN_SHORT
@@ -298,7 +306,8 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
                     continue
                 add(4, a, b, _vote(cue and not re.match(r"[一-鿿]", text[b : b + 1])), _vote(pattern is HAN_NAME), _vote(cue), _vote(not re.match(r"[一-鿿]", text[b : b + 1])))
 
-    for pattern in (NAME, INITIALS, REVERSED):
+    listed = not GIVEN_NAMES.isdisjoint(_LETTERS.findall(low))
+    for pattern in (NAME if listed else NAME_CAPS, INITIALS, REVERSED):
         at = 0
         while m := pattern.search(text, at):
             at = m.start() + 1
@@ -306,13 +315,13 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
             groups = m.groupdict()
             given, family = groups.get("given"), groups["family"]
             known = bool(given) and given.lower().split("-")[0] in GIVEN_NAMES
-            if pattern is NAME and not known and not (given[0].isupper() and family[0].isupper()):
+            if pattern in (NAME, NAME_CAPS) and not known and not (given[0].isupper() and family[0].isupper()):
                 continue
             before, after = text[max(0, a - 40) : a], text[b : b + 24]
             cue = _NAME_LEFT.search(before)
             linked = any(family.lower().split("-")[0] in x or x in family.lower() for x in locals_) if locals_ and len(family) > 3 else False
             shape = family[0].isupper() and (given is None or given[0].isupper())
-            if pattern is NAME and known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
+            if pattern in (NAME, NAME_CAPS) and known and not shape and not cue and not (_FIELD.search(before) and _CLOSE.match(text[b : b + 3])):
                 continue
             if family.lower() in _NOT_FAMILY or given and _ID_WORD.fullmatch(given.lower()):
                 continue
@@ -323,7 +332,7 @@ def candidates(text: str, common: np.ndarray | None = None) -> list[Candidate]:
                 continue  # a text in capitals
             if pattern is INITIALS and re.match(r"P\.\s?O\.", m[0]) or family.lower() == "box" or not free(a, b):
                 continue
-            if pattern is NAME and not unknown:  # the next match may start after this name only
+            if pattern in (NAME, NAME_CAPS) and not unknown:  # the next match may start after this name only
                 at = b
             usage = 0
             if unknown and common is not None:
