@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnesis.llm.words import word_spans, words
 from mnesis.workspace import spread
@@ -162,42 +161,48 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
 def remove_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_coverage: float = 0.5) -> DataFrame:
     """Documents without the leaking spans: ``(doc_id, text, removed, coverage, dropped)``.
 
-    A span is cut where a run of at least ``min_words`` words stands in a passage. A document of
+    A span is cut where a run of at least ``min_words`` words stands in a passage; the places of all shards
+    are gathered on the whole text and cut once. A document of
     which such spans cover more than ``max_coverage`` of the words is dropped as a whole (its text
     becomes null). Every document comes out once for each of its rows.
     """
     spark = documents.sparkSession
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType()), T.StructField("words", T.IntegerType())]
-    )
-    out = documents.select(F.col("doc_id").cast("bigint"), "text", F.lit(0).alias("removed"), F.lit(None).cast("int").alias("words"))
+    marked = documents.select(F.col("doc_id").cast("bigint"), "text", F.array().cast("array<int>").alias("leaked"))
     for automaton in _shards(items, min_words):
         shared = spark.sparkContext.broadcast(automaton)
 
-        def cut(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        # every shard reads the whole text and adds to the places of leaking words; nothing is cut yet
+        def mark(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             a = shared.value
             for batch in batches:
-                texts, removed, sizes = list(batch["text"]), list(batch["removed"]), list(batch["words"])
-                for i, text in enumerate(texts):
-                    ws = words(text)
-                    if pd.isna(sizes[i]):
-                        sizes[i] = len(ws)
-                    if not (found := a.matches(ws)):
-                        continue
-                    leaked: set[int] = set()
-                    for end, n, _ in found:
-                        leaked.update(range(end - n + 1, end + 1))
+                places = []
+                for text, before in zip(batch["text"], batch["leaked"]):
+                    found = set(before)
+                    for end, n, _ in a.matches(words(text)):
+                        found.update(range(end - n + 1, end + 1))
+                    places.append(sorted(found))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].array, "text": batch["text"], "leaked": places}).astype({"doc_id": "Int64"})
+
+        marked = marked.mapInPandas(mark, "doc_id bigint, text string, leaked array<int>")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, sizes = [], []
+            for text, places in zip(batch["text"], batch["leaked"]):
+                sizes.append(len(words(text)))
+                leaked = set(map(int, places))
+                if leaked:
                     spans, kept, at = word_spans(text), [], 0
                     for k in sorted(leaked):
                         if k < len(spans):
-                            first = k == 0 or k - 1 not in leaked
-                            kept.append(text[at : spans[k][1]] if first else "")
+                            kept.append(text[at : spans[k][1]] if k - 1 not in leaked else "")
                             at = spans[k][2]
-                    texts[i] = "".join(kept) + text[at:]
-                    removed[i] += len(leaked)
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "removed": removed, "words": sizes}).astype({"doc_id": "Int64", "words": "Int64"})
+                    text = "".join(kept) + text[at:]
+                texts.append(text)
+            removed = [len(x) for x in batch["leaked"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "text": texts, "removed": removed, "words": sizes}).astype({"doc_id": "Int64"})
 
-        out = out.mapInPandas(cut, schema)
+    out = marked.mapInPandas(cut, "doc_id bigint, text string, removed int, words int")
     coverage = F.when(F.coalesce("words", F.lit(0)) > 0, F.col("removed") / F.col("words")).otherwise(F.lit(0.0))
     return (
         out.withColumn("coverage", coverage)

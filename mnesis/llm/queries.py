@@ -84,7 +84,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(read_table(spark, sf_dir, "vector_index")).select("id_a", "id_b")
 
 
-@query("p6_found")
+#: Windows of ten words, without NFKC.
+LEAKS_SQL = r"""
+with texts as (
+  select doc_id as k, true as doc, text as t from documents where text is not null
+  union all select item_id, false, passage from eval_passages where passage is not null
+), w as (
+  select k, doc, regexp_extract_all(lower(regexp_replace(t, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') as w from texts
+), runs as (
+  select distinct k, doc, array_to_string(w[i:i + 9], ' ') as run from w, lateral (select unnest(range(1, len(w) - 8)) as i)
+)
+select distinct d.k as doc_id, p.k as item_id from runs d join runs p on d.run = p.run where d.doc and not p.doc
+"""
+
+
+@query("p6_found", LEAKS_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items that they leak."""
     leaks = contamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_passages"))

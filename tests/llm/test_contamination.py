@@ -55,3 +55,19 @@ def test_removal(spark):
     docs = spark.createDataFrame([(1, "Before: " + run.title() + "!" + tail, "x", "y"), (2, run, "x", "y"), (3, "clean", "x", "y"), (4, None, "x", "y")], DOCS)
     got = {r.doc_id: (r.text, r.removed, r.dropped) for r in C.remove_leaks(docs, items).collect()}
     assert got == {1: ("Before: !" + tail, 10, False), 2: (None, 10, True), 3: ("clean", 0, False), 4: (None, 0, False)}
+
+
+def test_spans_over_two_shards_are_cut_once(spark, monkeypatch):
+    ws = [f"w{i}" for i in range(40)]
+    # the passages overlap in the document; after cutting the one, eight words of the other would stay
+    passages = [(1, " ".join(ws[5:20])), (2, " ".join(ws[12:28])), (3, " ".join(ws[0:5] + ws[28:40]))]
+    items = spark.createDataFrame(passages, "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, " ".join(ws)), (1, " ".join(ws)), (2, None)], "doc_id bigint, text string")
+    want = None
+    for size in (500_000, 60):
+        monkeypatch.setattr(C, "SHARD_CHARS", size)
+        got = sorted(tuple(r) for r in C.remove_leaks(docs, items, max_coverage=0.9).collect())
+        assert [r[2] for r in got] == [35, 35, 0]
+        assert want is None or got == want
+        want = got
+    assert want[0][1].split() == ws[:5]
