@@ -82,7 +82,7 @@ class Mix:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, tokenizer: str = TOKENIZER):
         self.seed = seed
-        self.documents = documents.withColumn("source", canonical_source(F.col("source"))).where(F.col("source").isNotNull() & (F.trim("text") != ""))
+        self.documents = documents.withColumn("source", canonical_source(F.col("source"))).where(F.col("source").isNotNull() & F.col("text").rlike(r"\S"))
         goals = (
             targets.select(canonical_source(F.col("source")).alias("source"), "weight", "max_repeats")
             .where("source is not null")

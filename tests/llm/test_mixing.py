@@ -45,3 +45,9 @@ def test_edges(spark):
     empty = Mix(spark.createDataFrame([], DOCS), targets)
     assert empty.emit().collect() == [] and {r.actual_share for r in empty.shares().collect()} == {0.0}
     assert Mix(docs, spark.createDataFrame([], TARGETS)).emit().collect() == []
+
+
+def test_texts_of_tabs_and_line_ends_have_no_part(spark):
+    docs = spark.createDataFrame([(1, "one two", "a"), (2, "\t\n ", "a"), (3, None, "a"), (4, "", "a")], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
+    assert [r.doc_id for r in Mix(docs, targets).emit().collect()] == [1]
