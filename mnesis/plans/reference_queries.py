@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnesis.config import Config
-from mnesis.functions import embed, score, vectors
+from mnesis.functions import embed, grams, score, vectors
 from mnesis.functions import text as tx
 from mnesis.operators import dedupe, extract, items, recall, session
 from mnesis.plans.catalog import query
@@ -201,7 +201,7 @@ def documents_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("documents_features")
 def documents_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.features(_documents(spark, sf_dir), "doc_id", "text")
+    return grams.features(_documents(spark, sf_dir), "doc_id", "text")
 
 
 @query("documents_sparse")
