@@ -24,7 +24,7 @@ from mnesis.functions import text as tx
 POINTS, LIST = 1 << 16, 1 << 14
 LONGEST = 4
 _WORD = re.compile(r"[a-z0-9_]{3,}")
-_PRIME, _MASK = np.uint64(tx.PRIME), np.uint64(tx.MASK)
+_PRIME = np.uint32(tx.PRIME)  # products of 32 bits wrap around by themselves
 
 #: Of n-grams of one length: documents' places, places in the alphabet of each gram's code points (a column for each), counts.
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -140,27 +140,27 @@ def hash_grams(alphabet: np.ndarray, columns: np.ndarray) -> np.ndarray:
     points = alphabet.astype(np.uint64)
     wide = points > 0xFFFF
     over = np.where(wide, points - np.where(wide, np.uint64(0x10000), np.uint64(0)), np.uint64(0))
-    first = np.where(wide, np.uint64(0xD800) + (over >> np.uint64(10)), points)
-    second = np.uint64(0xDC00) + (over & np.uint64(0x3FF))
-    h = np.full(len(columns), tx.SEED, np.uint64)
+    first = np.where(wide, np.uint64(0xD800) + (over >> np.uint64(10)), points).astype(np.uint32)
+    second = (np.uint64(0xDC00) + (over & np.uint64(0x3FF))).astype(np.uint32)
+    h = np.full(len(columns), tx.SEED, np.uint32)
     for j in range(columns.shape[1]):
         c = columns[:, j]
-        h = (h ^ first[c]) * _PRIME & _MASK
+        h = (h ^ first.take(c)) * _PRIME
         if wide.any():
-            h = np.where(wide[c], (h ^ second[c]) * _PRIME & _MASK, h)
+            h = np.where(wide[c], (h ^ second[c]) * _PRIME, h)
     return h
 
 
 def hash_ascii(grams: pa.Array) -> np.ndarray:
     """32-bit FNV-1a of strings in ASCII."""
     lengths = pc.binary_length(grams).to_numpy().astype(np.int64)
-    data = np.frombuffer("".join(grams.to_pylist()).encode("ascii"), np.uint8).astype(np.uint64)
+    data = np.frombuffer("".join(grams.to_pylist()).encode("ascii"), np.uint8)
     order = np.argsort(-lengths, kind="stable")
     starts, falling = (np.cumsum(lengths) - lengths)[order], -lengths[order]
-    h = np.full(len(grams), tx.SEED, np.uint64)
+    h = np.full(len(grams), tx.SEED, np.uint32)
     for j in range(int(lengths.max(initial=0))):
         n = int(np.searchsorted(falling, -j))  # those longer than j
-        h[:n] = (h[:n] ^ data[starts[:n] + j]) * _PRIME & _MASK
+        h[:n] = (h[:n] ^ data[starts[:n] + j]) * _PRIME
     out = np.empty_like(h)
     out[order] = h
     return out
@@ -230,20 +230,24 @@ def features(rows: DataFrame, key: str, text: str) -> DataFrame:
     return _summed(rows, key, text, "count", _features)
 
 
-def sparse(rows: DataFrame, key: str, text: str, of_features: Callable[[DataFrame, str, int], DataFrame], dim: int = 512) -> DataFrame:
-    """Bucket weights ``(key, bucket, weight)``, not yet of unit length; those of documents in several rows by ``of_features``."""
+def sparse(rows: DataFrame, key: str, text: str, of_features: Callable[[DataFrame, str, int], DataFrame], dim: int = 512, digits: int = 4) -> DataFrame:
+    """Bucket weights ``(key, bucket, weight)`` rounded to ``digits``, not yet of unit length; those of documents in
+    several rows by ``of_features``."""
+    damped = 1 + 0.5 * np.log1p(np.arange(4096))
 
     def part(texts: list[str]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
         alphabet, counted = count_grams(texts)
         places, grams, n = word_counts(texts)
-        d = np.concatenate([c[0] for c in counted] + [places])
-        h = np.concatenate([hash_grams(alphabet, c[1]) for c in counted] + [hash_ascii(grams)])
-        n = np.concatenate([c[2] for c in counted] + [n])
-        weights = np.where(h & np.uint64(1), -1.0, 1.0) * (1 + 0.5 * np.log1p(n))
-        cell = d * dim + (h % np.uint64(dim)).astype(np.int64)
-        there = np.flatnonzero(np.bincount(cell))
-        yield there // dim, pa.array((there % dim).astype(np.int32)), pa.array(np.bincount(cell, weights)[there])
+        weights, there = np.zeros(len(texts) * dim), np.zeros(len(texts) * dim, bool)
+        for d, h, n in [*((c[0], hash_grams(alphabet, c[1]), c[2]) for c in counted), (places, hash_ascii(grams), n)]:
+            cell = d * dim + h % np.uint32(dim)
+            weight = damped.take(n) if n.max(initial=0) < len(damped) else 1 + 0.5 * np.log1p(n)
+            weights += np.bincount(cell, weight * (1 - 2 * (h & np.uint32(1)).astype(np.float64)), len(weights))
+            there[cell] = True
+        there = np.flatnonzero(there)
+        # no -0.0, which decimal rounding doesn't give
+        yield there // dim, pa.array((there % dim).astype(np.int32)), pa.array(np.round(weights[there], digits) + 0.0)
 
     once, more = _once(rows, key)
     out = _each_part(once, key, text, ("bucket", "int", "bigint", "weight", "double", "double"), part)
-    return out if more is None else out.unionByName(of_features(features(more, key, text), key, dim))
+    return out if more is None else out.unionByName(of_features(features(more, key, text), key, dim).withColumn("weight", F.round("weight", digits)))

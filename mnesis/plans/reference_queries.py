@@ -206,7 +206,7 @@ def documents_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("documents_sparse")
 def documents_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.sparse(documents_features(spark, sf_dir), "doc_id").select("doc_id", "bucket", F.round("weight", 4).alias("weight"))
+    return grams.sparse(_documents(spark, sf_dir), "doc_id", "text", embed.sparse, digits=4)
 
 
 @query("documents_similar")
