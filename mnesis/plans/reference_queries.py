@@ -195,8 +195,7 @@ def documents_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("documents_ngrams")
 def documents_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents_normalized(spark, sf_dir)
-    return rows.select("doc_id", F.explode(tx.char_ngrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return grams.ngram_counts(_documents(spark, sf_dir), "doc_id", "text")
 
 
 @query("documents_features")

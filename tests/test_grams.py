@@ -40,6 +40,7 @@ def moves_grams(spark, sf, name):
 def test_ngrams(spark, sf, rows):
     got = G.ngram_counts(rows, "doc_id", "text").collect()
     assert len(got) == len(by_key(grams)) and {(r.doc_id, r.gram): r.n for r in got} == by_key(grams)
+    assert not moves_grams(spark, sf, "documents_ngrams")
 
 
 def test_features(spark, sf, rows):
