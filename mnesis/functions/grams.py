@@ -115,24 +115,34 @@ def strings(alphabet: np.ndarray, columns: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(rows, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def word_counts(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words (``w:``, twice) and pairs of adjacent ones (``wb:``, three times): documents' places, features, counts."""
+def _found_words(texts: list[str]) -> tuple[pa.Array, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Words that occur; documents' places, words' places and counts; the same of pairs of adjacent words."""
     found = [_WORD.findall(t) for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
     coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-    word, words, n = coded.indices.to_numpy().astype(np.int64), coded.dictionary, max(1, len(coded.dictionary))
+    word, n = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
     single, times = np.unique(doc * n + word, return_counts=True)
     beside = doc[1:] == doc[:-1]
     double, often = np.unique(((doc[:-1] * n + word[:-1]) * n + word[1:])[beside], return_counts=True)
-    grams = pa.concat_arrays(
-        [
-            pc.binary_join_element_wise("w", words.take(pa.array(single % n)), ":"),
-            pc.binary_join_element_wise(pc.binary_join_element_wise("wb", words.take(pa.array(double // n % n)), ":"), words.take(pa.array(double % n)), " "),
-        ]
-    )
-    places = np.r_[single // n, double // n // n]
+    return coded.dictionary, (single // n, single % n, times), (double // n // n, double // n % n, double % n, often)
+
+
+def word_counts(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words (``w:``, twice) and pairs of adjacent ones (``wb:``, three times): documents' places, features, counts."""
+    words, (doc, word, times), (docs, left, right, often) = _found_words(texts)
+    single = pc.binary_join_element_wise("w", words.take(pa.array(word)), ":")
+    double = pc.binary_join_element_wise(pc.binary_join_element_wise("wb", words.take(pa.array(left)), ":"), words.take(pa.array(right)), " ")
+    places = np.r_[doc, docs]
     order = np.argsort(places, kind="stable")
-    return places[order], grams.take(pa.array(order)), np.r_[2 * times, 3 * often][order]
+    return places[order], pa.concat_arrays([single, double]).take(pa.array(order)), np.r_[2 * times, 3 * often][order]
+
+
+def word_hashes(texts: list[str]) -> list[Counts]:
+    """Documents' places, hashes and counts of words, and of pairs of adjacent ones."""
+    words, (doc, word, times), (docs, left, right, often) = _found_words(texts)
+    every = np.arange(len(words))
+    pairs = (extend(hash_start("wb:", len(words)), words, every) ^ np.uint32(ord(" "))) * _PRIME
+    return [(doc, extend(hash_start("w:", len(words)), words, every)[word], 2 * times), (docs, extend(pairs[left], words, right), 3 * often)]
 
 
 def hash_grams(alphabet: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -151,13 +161,21 @@ def hash_grams(alphabet: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def hash_ascii(grams: pa.Array) -> np.ndarray:
-    """32-bit FNV-1a of strings in ASCII."""
-    lengths = pc.binary_length(grams).to_numpy().astype(np.int64)
-    data = np.frombuffer("".join(grams.to_pylist()).encode("ascii"), np.uint8)
-    order = np.argsort(-lengths, kind="stable")
-    starts, falling = (np.cumsum(lengths) - lengths)[order], -lengths[order]
-    h = np.full(len(grams), tx.SEED, np.uint32)
+def hash_start(prefix: str, n: int) -> np.ndarray:
+    """``n`` times the 32-bit FNV-1a of a prefix in ASCII."""
+    h = tx.SEED
+    for c in prefix.encode("ascii"):
+        h = (h ^ c) * tx.PRIME & tx.MASK
+    return np.full(n, h, np.uint32)
+
+
+def extend(h: np.ndarray, words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Hashes ``h``, each continued by the word (in ASCII) at its place."""
+    lengths = pc.binary_length(words).to_numpy().astype(np.int64)
+    data = np.frombuffer("".join(words.to_pylist()).encode("ascii"), np.uint8)
+    order = np.argsort(-lengths[at], kind="stable")
+    starts, falling = (np.cumsum(lengths) - lengths)[at[order]], -lengths[at[order]]
+    h = h[order]
     for j in range(int(lengths.max(initial=0))):
         n = int(np.searchsorted(falling, -j))  # those longer than j
         h[:n] = (h[:n] ^ data[starts[:n] + j]) * _PRIME
@@ -237,9 +255,8 @@ def sparse(rows: DataFrame, key: str, text: str, of_features: Callable[[DataFram
 
     def part(texts: list[str]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
         alphabet, counted = count_grams(texts)
-        places, grams, n = word_counts(texts)
         weights, there = np.zeros(len(texts) * dim), np.zeros(len(texts) * dim, bool)
-        for d, h, n in [*((c[0], hash_grams(alphabet, c[1]), c[2]) for c in counted), (places, hash_ascii(grams), n)]:
+        for d, h, n in [*((c[0], hash_grams(alphabet, c[1]), c[2]) for c in counted), *word_hashes(texts)]:
             cell = d * dim + h % np.uint32(dim)
             weight = damped.take(n) if n.max(initial=0) < len(damped) else 1 + 0.5 * np.log1p(n)
             weights += np.bincount(cell, weight * (1 - 2 * (h & np.uint32(1)).astype(np.float64)), len(weights))
